@@ -181,3 +181,19 @@ def exact_quantiles(
     # as many rows per group as there are probabilities
     rows = exact.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("_pv"))
     return rows.select(*by, F.transform("_pv", lambda s: s["v"]).alias("q"))
+
+
+def number_within(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "rn", total: str | None = None
+) -> DataFrame:
+    """Row number inside each group, for groups too large for one task.
+
+    Rows are numbered once over (group, order); a group's own numbers follow by
+    subtracting the number at which it starts.
+    """
+    numbered = materialise(global_row_number(df, [*by, *order], "_g"))
+    starts = numbered.groupBy(*by).agg((F.min("_g") - 1).alias("_start"), F.count(F.lit(1)).alias("_size"))
+    out = numbered.join(starts, list(by)).withColumn(name, F.col("_g") - F.col("_start"))
+    if total:
+        out = out.withColumn(total, F.col("_size"))
+    return out.select(*df.columns, name, *([total] if total else []))

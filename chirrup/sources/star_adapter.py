@@ -23,6 +23,15 @@ def _pick(column: Column, pairs: dict, default: Column) -> Column:
     return out.otherwise(default)
 
 
+FRAGMENTS = (
+    " I can't love this sooo much :) https://t.co/x",
+    " @User_1 not a good day :-( #Sad",
+    " it\\u2019s &amp;lt;fine&amp;gt; &amp; ok",
+    " never again 😀 www.example.org",
+    " They won't... we'll see, he'd say \"no\"",
+)
+
+
 @dataclass
 class StarSchema:
     spark: SparkSession
@@ -298,6 +307,16 @@ class StarSchema:
             *[p.alias(f"prob_{c}") for c, p in probs.items()],
         )
 
+    @cached_property
+    def social_text(self) -> DataFrame:
+        """Documents with social-media fragments appended, whole texts kept."""
+        return self.table("documents").select(
+            "doc_id",
+            F.concat(
+                F.col("text"), _pick(F.col("doc_id") % 6, {i: F.lit(f) for i, f in enumerate(FRAGMENTS)}, F.lit(""))
+            ).alias("text"),
+        )
+
     # ------------------------------------------------------------------ event log
     @cached_property
     def event_log(self) -> DataFrame:
