@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # white space as Python's str.strip() understands it, as a Java character class body
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -27,7 +27,7 @@ def contains_any(text: Column, parts) -> Column:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

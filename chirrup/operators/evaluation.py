@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chirrup.functions import metrics as m
 from chirrup.operators.ranking import average_ranks, exact_quantiles, grouped_histogram
@@ -168,7 +168,7 @@ def reliability(ovr: DataFrame, bins: int = 10) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ comparisons
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_two_sided(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided binomial p at one half; terms are added from the largest down."""
 

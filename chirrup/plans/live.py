@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chirrup.constants import (
     ARC_SPLIT, DISPLAY_ZONE, ENTITIES, KINDS, LIVE_WINDOW_END, LIVE_WINDOW_START, SEED, SHIFT_MIN_ROWS, SNOWFLAKE_EPOCH_MS, SPIKE_Z,
@@ -220,7 +220,7 @@ def _rank_sum_p(u: float, a: int, b: int, ties: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rank_sum_p(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
     """Two-sided Mann-Whitney p: exact for small tie-free samples, else normal with tie and continuity terms."""
     return pd.Series([_rank_sum_p(*row) for row in zip(u, a.astype(int), b.astype(int), ties)], dtype="float64")

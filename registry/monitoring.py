@@ -266,9 +266,9 @@ ORACLE = {
     "S9_bundle": """SELECT 'posts' AS "table", count(*) AS "rows" FROM orders UNION ALL SELECT 'users', count(*) FROM customer
       UNION ALL SELECT 'tags', count(*) FROM (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "S11_L16_manual_reactions": """
-      SELECT 'x_manual:' || (((epoch_ms(ts) + (event_id % 7) * 60000 - 1288834974657)::HUGEINT * 4194304)::BIGINT) AS record_id, 'u' || user_id AS author, event_type AS text,
+      SELECT 'x_manual:' || (((epoch_us(ts) // 1000 + (event_id % 7) * 60000 - 1288834974657)::HUGEINT * 4194304)::BIGINT) AS record_id, 'u' || user_id AS author, event_type AS text,
              date_trunc('second', ts) AS created_at, event_id AS likes, CAST(NULL AS BIGINT) AS replies
-      FROM events WHERE event_id % 10 <> 0 AND epoch_ms(ts) + (event_id % 7) * 60000 - epoch_ms(date_trunc('second', ts)) <= 300000""",
+      FROM events WHERE event_id % 10 <> 0 AND epoch_us(ts) // 1000 + (event_id % 7) * 60000 - epoch_ms(date_trunc('second', ts)) <= 300000""",
     "S14_timeline": """SELECT 'mastodon:' || event_id AS record_id, 'mastodon' AS source, 'u' || user_id AS author, CAST(NULL AS VARCHAR) AS title, event_type || ' done' AS text,
       CAST(NULL AS VARCHAR) AS url, date_trunc('second', ts) AS created_at, event_id % 9 AS reblogs FROM events""",
     "S14_stories": """SELECT 'hn:' || event_id AS record_id, 'hn' AS source, CAST(NULL AS VARCHAR) AS author, event_type AS title, 'a b' AS text,
