@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chirrup.constants import CHAR_NGRAMS, CONTRACTIONS, NEGATION_WINDOW, NEGATIONS, SADS, SMILES, STOPWORDS
-from chirrup.functions.strings import SPACE, squeeze, unescape_html
+from chirrup.functions.strings import SPACE, contains_any, has_bytes, squeeze, unescape_html
 
 EMPTY = "<empty>"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]"
@@ -50,37 +50,52 @@ def decode_unicode_escapes(text: Column) -> Column:
     return F.when(marked.isNotNull(), F.aggregate(ordered, text, one)).otherwise(text)
 
 
+DECODED = "_decoded"
+
+
 def with_base_clean(df: DataFrame, text: str, target: str = "clean") -> DataFrame:
-    """Escapes and (double) entities decoded, quotes straightened, white space squeezed; case kept."""
-    out = df.withColumn(target, decode_unicode_escapes(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    """Escapes and (double) entities decoded, quotes straightened, white space squeezed; case kept.
+
+    The decoded text before squeezing stays as ``_decoded``: what follows does not need the
+    squeezing, which is pruned where nobody reads ``clean``.
+    """
+    out = df.withColumn(DECODED, decode_unicode_escapes(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    t = F.col(DECODED)
     for _ in range(2):  # some rows are encoded twice
-        coded = F.col(target).contains("&")
-        out = out.withColumn(target, F.when(coded, unescape_html(F.when(coded, F.col(target)))).otherwise(F.col(target)))
-    return out.withColumn(target, squeeze(F.translate(target, "’‘“”", "''\"\"")))
-
-
-def with_normalised(df: DataFrame, clean: str = "clean", target: str = "normalised") -> DataFrame:
-    """Lower case; links, users, tags, faces and emoji become markers; contractions are expanded."""
-    t = F.lower(clean)
-    for pattern, mark in (
-        (URL, " <url> "),
-        ("@([a-z0-9_]+)", " <user> "),
-        ("#([a-z0-9_]+)", "$1 <hashtag> "),
-        (SMILE, " <smile> "),
-        (SAD, " <sad> "),
-        (EMOJI, " <emoji> "),
-    ):
-        t = F.regexp_replace(t, pattern, mark)
-    out = df.withColumn("_marked", t)
-    # nearly all texts without an apostrophe skip the contraction passes
-    expanded = F.col("_marked")
-    for pattern, words in CONTRACTIONS:
-        expanded = F.regexp_replace(expanded, f"(?U){pattern}", words)
-    out = out.withColumn("_marked", F.when(F.col("_marked").contains("'"), expanded).otherwise(F.col("_marked")))
+        coded = t.contains("&")
+        out = out.withColumn(DECODED, F.when(coded, unescape_html(F.when(coded, t))).otherwise(t))
+    straight = F.when(has_bytes(t, "E280"), F.translate(t, "’‘“”", "''\"\"")).otherwise(t)
+    out = out.withColumn(DECODED, straight)
+    return out.withColumn(target, squeeze(t))
+
+
+def with_normalised(df: DataFrame, decoded: str = DECODED, target: str = "normalised") -> DataFrame:
+    """Lower case; links, users, tags, faces and emoji become markers; contractions are expanded.
+
+    Most texts hold none of these. A plain search for a character each pattern needs decides
+    whether the pattern is run at all.
+    """
+    out = df.withColumn("_marked", F.lower(decoded))
+    t = F.col("_marked")
+    face = contains_any(t, (":", ";", "=)", "t_t"))
+    marks = (
+        (contains_any(t, ("://", "www.")), ((URL, " <url> "),)),
+        (t.contains("@"), (("@([a-z0-9_]+)", " <user> "),)),
+        (t.contains("#"), (("#([a-z0-9_]+)", "$1 <hashtag> "),)),
+        (face, ((SMILE, " <smile> "), (SAD, " <sad> "))),
+        (has_bytes(t, "F0", "E2", "EF"), ((EMOJI, " <emoji> "),)),
+        *[(t.contains(p.replace("\\b", "")), ((f"(?U){p}", words),)) for p, words in CONTRACTIONS],
+    )
+    for needed, replacements in marks:
+        changed = t
+        for pattern, mark in replacements:
+            changed = F.regexp_replace(changed, pattern, mark)
+        out = out.withColumn("_marked", F.when(needed, changed).otherwise(t))
     stretched = r"([a-z])\1{2,}"
     shortened = F.concat(F.regexp_replace("_marked", stretched, "$1$1"), F.lit(" <elong>"))
-    out = out.withColumn("_marked", F.when(F.col("_marked").rlike(stretched), shortened).otherwise(F.col("_marked")))
-    return out.withColumn(target, squeeze(F.regexp_replace("_marked", f"[^a-z0-9{SPACE}<>]", " "))).drop("_marked")
+    out = out.withColumn("_marked", F.when(t.rlike(stretched), shortened).otherwise(t))
+    # other characters and white space alike end up as single spaces
+    return out.withColumn(target, F.trim(F.regexp_replace("_marked", "[^a-z0-9<>]+", " "))).drop("_marked")
 
 
 def negation_scope(tokens: Column, window: int = NEGATION_WINDOW) -> Column:
@@ -101,9 +116,15 @@ def negation_scope(tokens: Column, window: int = NEGATION_WINDOW) -> Column:
 def with_tokens(df: DataFrame, normalised: str = "normalised", target: str = "tokens") -> DataFrame:
     """Words without stopwords, negations kept and scoped; ``<empty>`` where nothing is left."""
     words = F.filter(F.split(normalised, " "), lambda w: (w != "") & ~w.isin(*STOPWORDS))
-    joined = df.withColumn("_joined", F.array_join(words, " "))
-    scoped = F.split(negation_scope(F.col("_joined")), " ")
-    return joined.withColumn(target, F.when(F.col("_joined") == "", F.array(F.lit(EMPTY))).otherwise(scoped)).drop("_joined")
+    kept = df.withColumn("_words", words)
+    w = F.col("_words")
+    scoped = F.split(negation_scope(F.array_join(w, " ")), " ")
+    return kept.withColumn(
+        target,
+        F.when(F.size(w) == 0, F.array(F.lit(EMPTY)))
+        .when(F.arrays_overlap(w, F.array(*map(F.lit, NEGATIONS))), scoped)
+        .otherwise(w),
+    ).drop("_words")
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -125,18 +146,18 @@ def char_ngrams(normalised: Column, low: int = CHAR_NGRAMS[0], high: int = CHAR_
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         size = F.length(padded)
-        lengths = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: (n == low) | (n <= size))
-        return F.flatten(
-            F.transform(
-                lengths,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n)
-                ),
-            )
-        )
 
-    words = F.filter(F.split(normalised, " "), lambda w: w != "")
-    return F.flatten(F.transform(words, of_word))
+        def of_length(n: int) -> Column:
+            last = F.greatest(size - (n - 1), F.lit(1))
+            return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(n)))
+
+        none = F.array().cast("array<string>")
+        longer = [F.when(size >= n, of_length(n)).otherwise(none) for n in range(low + 1, high + 1)]
+        return F.concat(of_length(low), *longer)
+
+    return F.when(normalised != "", F.flatten(F.transform(F.split(normalised, " "), of_word))).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def with_attributes(df: DataFrame, text: str, clean: str = "clean", tokens: str = "tokens") -> DataFrame:
@@ -149,10 +170,11 @@ def with_attributes(df: DataFrame, text: str, clean: str = "clean", tokens: str
         {
             "n_chars": F.length(clean).cast("long"),
             "n_tokens": F.when((F.size(words) == 1) & (words[0] == EMPTY), 0).otherwise(F.size(words)).cast("long"),
-            "has_url": raw.rlike(f"(?i){URL}"),
-            "has_mention": raw.rlike("@[A-Za-z0-9_]+"),
-            "has_hashtag": raw.rlike("#[A-Za-z0-9_]+"),
-            "has_emoji": raw.rlike(EMOJI) | low.rlike(SMILE) | low.rlike(SAD),
+            "has_url": contains_any(low, ("://", "www.")) & raw.rlike(f"(?i){URL}"),
+            "has_mention": raw.contains("@") & raw.rlike("@[A-Za-z0-9_]+"),
+            "has_hashtag": raw.contains("#") & raw.rlike("#[A-Za-z0-9_]+"),
+            "has_emoji": (has_bytes(raw, "F0", "E2", "EF") & raw.rlike(EMOJI))
+            | (contains_any(low, (":", ";", "=)", "t_t")) & (low.rlike(SMILE) | low.rlike(SAD))),
             "has_negation": raw.rlike(negated),
             "has_elong": raw.rlike(r"([a-zA-Z])\1{2,}"),
         }
@@ -161,5 +183,5 @@ def with_attributes(df: DataFrame, text: str, clean: str = "clean", tokens: str
 
 def normalise_corpus(df: DataFrame, text: str, *, attributes: bool = False) -> DataFrame:
     """Adds ``clean``, ``normalised``, ``tokens`` and, on request, the attributes."""
-    out = with_tokens(with_normalised(with_base_clean(df, text)))
+    out = with_tokens(with_normalised(with_base_clean(df, text))).drop(DECODED)
     return with_attributes(out, text) if attributes else out

@@ -7,17 +7,35 @@ import html
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# white space as Python's str.strip() understands it, as a Java character class body
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# white space as Python's str.strip() understands it: code points, characters, and the body of
+# a regular-expression class
+SPACE_POINTS = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)
+SPACES = "".join(map(chr, SPACE_POINTS))
+SPACE = "".join(f"\\x{{{c:x}}}" for c in SPACE_POINTS)
+# bytes that every space outside ASCII starts with, and the four ASCII separators Java's \\s lacks
+RARE_SPACE_BYTES = ("C285", "C2A0", "E19A80", "E280", "E2819F", "E38080", "1C", "1D", "1E", "1F")
+
+
+def has_bytes(text: Column, *sequences: str) -> Column:
+    """Does the UTF-8 form hold one of the byte sequences? A scan far cheaper than a regular expression."""
+    raw = text.cast("binary")
+    found = F.lit(False)
+    for sequence in sequences:
+        found = found | F.contains(raw, F.unhex(F.lit(sequence)))
+    return found
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """White-space runs become one space; ends are stripped."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    rare = F.regexp_replace(text, f"[{SPACE}]+", " ")
+    plain = F.regexp_replace(text, r"\s+", " ")
+    return F.trim(F.when(has_bytes(text, *RARE_SPACE_BYTES), rare).otherwise(plain))
 
 
 def contains_any(text: Column, parts) -> Column:

@@ -61,6 +61,8 @@ def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, F1 (macro, weighted, micro), Matthews correlation and n."""
+    if not by:
+        return summary(cells.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     classes = per_class(cells, by)
     f1 = classes.groupBy(*by).agg(
         F.avg("f1").alias("f1_macro"),
@@ -76,15 +78,11 @@ def summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     totals = cells.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit")
     )
-
-    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, list(by)) if by else a.crossJoin(b)  # without groups both have one row
-
     n, hit = F.col("n").cast("double"), F.col("hit").cast("double")
     spread = F.sqrt((n * n - F.col("tt")) * (n * n - F.col("pp")))
     mcc = F.coalesce(F.try_divide(hit * n - F.col("tp"), spread), F.lit(0.0))
     accuracy = F.try_divide(hit, n)
-    return merge(merge(totals, f1), products).select(
+    return totals.join(f1, list(by)).join(products, list(by)).select(
         *by,
         accuracy.alias("accuracy"),
         "f1_macro",

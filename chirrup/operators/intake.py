@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chirrup.constants import MISSING_TOKENS, PLATFORM_ALIASES, UNSPECIFIED, WINDOW_END, WINDOW_START
 from chirrup.functions import metrics as m
-from chirrup.functions.strings import SPACE, contains_any, strip, unescape_html
+from chirrup.functions.strings import SPACES, contains_any, strip, unescape_html
 from chirrup.operators.ranking import exact_quantiles
 from chirrup.session import materialise
 
@@ -92,7 +92,7 @@ def repair_text(df: DataFrame, source: str = "text_content", target: str = "text
     steps = steps.withColumn("_core", strip(t("_s")))
     steps = steps.withColumn("_pad", t("_core") != t("_s"))
     steps = steps.withColumn("_tags", _strip_tags_fully(t("_core")))
-    steps = steps.withColumn("_body", F.regexp_replace(t("_tags.text"), f"[{SPACE}&,]+$", ""))
+    steps = steps.withColumn("_body", F.rtrim(t("_tags.text"), F.lit(SPACES + "&,")))
     steps = steps.withColumn("_tail", F.substring(t("_tags.text"), F.length("_body") + 1, F.length("_tags.text")))
     steps = steps.withColumn("_fixed", _latin1_reversed(t("_body")))
     steps = steps.withColumn("_mtail", t("_fixed").endswith("é"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chirrup.constants import SEED, SENTIMENTS, TEST_SHARE
 from chirrup.functions import metrics as m
-from chirrup.functions.social_text import with_base_clean
+from chirrup.functions.social_text import DECODED, with_base_clean
 from chirrup.functions.strings import strip
 from chirrup.operators.ranking import exact_quantiles, number_within
 from chirrup.session import materialise
@@ -53,7 +53,7 @@ class Holdouts:
 
 def hold_out(df: DataFrame) -> Holdouts:
     """Empty texts and exact repeats (same text and labels, lowest id kept) are set aside."""
-    rows = materialise(with_base_clean(df, "post_text").withColumn("digest", text_digest()))
+    rows = materialise(with_base_clean(df, "post_text").drop(DECODED).withColumn("digest", text_digest()))
     empty = rows.where(F.col("clean") == "")
     full = rows.where(F.col("clean") != "")
     firsts = full.groupBy("digest", "sentiment_label", "topic_category").agg(F.min("text_id").alias("text_id"))
