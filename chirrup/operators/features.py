@@ -1,7 +1,7 @@
 """Text features as relations: term counts, vocabulary, TF-IDF weights, sparse vectors.
 
-The vocabulary is a DataFrame, so it may exceed any driver; it is broadcast into the
-weighting only when counted and found small.
+The vocabulary is a DataFrame, so it may exceed any driver; whether it is broadcast into
+the weighting is left to Catalyst.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chirrup.constants import MIN_DF, TOPIC_MAX_DF, TOPIC_MAX_FEATURES, TOPIC_MIN_DF
 from chirrup.operators.ranking import global_row_number
-from chirrup.session import broadcast_if_small, materialise
+from chirrup.session import materialise
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -34,7 +34,7 @@ def tfidf(counts: DataFrame, key: str, *, min_df: int = MIN_DF, fitted: DataFram
     n = n_docs if n_docs is not None else counts.agg(F.count_distinct(key).alias("n")).scalar()
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     weighed = (
-        counts.join(broadcast_if_small(terms), "term")
+        counts.join(terms, "term")
         .withColumn("n", n)
         .withColumn("raw", (1.0 + F.log(F.col("tf").cast("double"))) * idf)
         .drop("n", "tf", "df")

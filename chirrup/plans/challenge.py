@@ -13,9 +13,11 @@ from chirrup.constants import ANOMALY_TYPES, SAYS, UNSPECIFIED
 from chirrup.functions import metrics as m
 from chirrup.operators import relations as rel
 from chirrup.operators.ranking import global_row_number, ntile_of
-from chirrup.session import broadcast_if_small
 
-ALL_ROWS = Window.partitionBy()  # only over platforms, locations or cohorts
+
+def all_rows():
+    """One window over everything: only ever over aggregated rows."""
+    return Window.partitionBy()
 
 
 def _labelled() -> Column:
@@ -53,14 +55,14 @@ def top_platform(posts: DataFrame) -> DataFrame:
 def platform_uniformity(posts: DataFrame, *, critical: float = 9.488, df: int = 4) -> DataFrame:
     """Chi-square of the labelled platforms against an even split."""
     counts = posts.where(_labelled()).groupBy("platform").agg(F.count(F.lit(1)).alias("n_posts"))
-    expected = F.avg("n_posts").over(ALL_ROWS)
+    expected = F.avg("n_posts").over(all_rows())
     terms = counts.select(
         "platform",
         "n_posts",
-        F.sum("n_posts").over(ALL_ROWS).alias("all"),
+        F.sum("n_posts").over(all_rows()).alias("all"),
         expected.alias("expected"),
         (F.pow(F.col("n_posts") - expected, 2) / expected).alias("term"),
-    ).withColumn("total", F.sum("term").over(ALL_ROWS))
+    ).withColumn("total", F.sum("term").over(all_rows()))
     return terms.select(
         "platform",
         "n_posts",
@@ -496,8 +498,8 @@ def podium_margins(posts: DataFrame, users: DataFrame, *, top: int = 8) -> DataF
 
 
 def _platform_means(posts: DataFrame) -> DataFrame:
-    """A row per platform label, broadcast once its size is known: no shuffle of the posts."""
-    return broadcast_if_small(
+    """A row per platform label; Catalyst broadcasts it when its size allows."""
+    return (
         _with_engagement(posts)
         .groupBy("platform")
         .agg(F.count(F.lit(1)).alias("platform_posts"), F.avg("engagement").alias("platform_mean"))

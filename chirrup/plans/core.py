@@ -9,21 +9,24 @@ from chirrup.functions import metrics as m
 from chirrup.operators import relations as rel
 from chirrup.operators.ranking import global_ntile
 
-ALL_ROWS = Window.partitionBy()  # only ever over aggregated rows: months, platforms, hours, segments
+
+def all_rows():
+    """One window over everything: only ever over aggregated rows."""
+    return Window.partitionBy()
 
 
 def monthly_momentum(posts: DataFrame) -> DataFrame:
     """Posts per month, change against the month before, z-score (population SD) and volume rank."""
     by_month = Window.orderBy("post_month")
     prev = F.lag("posts").over(by_month)
-    sd = F.stddev_pop("posts").over(ALL_ROWS)
+    sd = F.stddev_pop("posts").over(all_rows())
     return rel.monthly(posts).select(
         "post_month",
         "posts",
         prev.alias("prev_month"),
         F.round(m.percent(F.col("posts") - prev, prev), 2).alias("mom_pct"),
         F.round("mean_engagement", 1).alias("mean_engagement"),
-        F.round(F.try_divide(F.col("posts") - F.avg("posts").over(ALL_ROWS), sd), 2).alias("z_volume"),
+        F.round(F.try_divide(F.col("posts") - F.avg("posts").over(all_rows()), sd), 2).alias("z_volume"),
         m.long(F.rank().over(Window.orderBy(F.desc("posts")))).alias("volume_rank"),
     ).orderBy("post_month")
 
@@ -65,7 +68,7 @@ def platform_league(posts: DataFrame) -> DataFrame:
     return table.select(
         "platform",
         "posts",
-        F.round(m.percent(F.col("posts"), F.sum("posts").over(ALL_ROWS)), 2).alias("share_pct"),
+        F.round(m.percent(F.col("posts"), F.sum("posts").over(all_rows())), 2).alias("share_pct"),
         "likes_missing",
         F.round(m.percent(F.col("likes_missing"), F.col("posts")), 2).alias("likes_missing_pct"),
         "mean_engagement",
@@ -150,7 +153,7 @@ def midnight_illusion(posts: DataFrame) -> DataFrame:
     )
 
     def share(name: str):
-        return F.round(m.percent(F.col(name), F.sum(name).over(ALL_ROWS)), 2)
+        return F.round(m.percent(F.col(name), F.sum(name).over(all_rows())), 2)
 
     return hours.select(
         "post_hour",
@@ -198,7 +201,7 @@ def rfm_segments(posts: DataFrame) -> DataFrame:
         .select(
             "segment",
             "users",
-            F.round(m.percent(F.col("users"), F.sum("users").over(ALL_ROWS)), 2).alias("share_pct"),
+            F.round(m.percent(F.col("users"), F.sum("users").over(all_rows())), 2).alias("share_pct"),
             "avg_posts",
             "avg_total_engagement",
             "avg_days_since_last_post",

@@ -10,7 +10,10 @@ from chirrup.functions.strings import strip
 from chirrup.operators.ranking import exact_quantiles, global_row_number
 from chirrup.operators.relations import hashtags
 
-ALL_ROWS = Window.partitionBy()  # over months, hours, labels only
+
+def all_rows():
+    """One window over everything: only ever over aggregated rows."""
+    return Window.partitionBy()
 
 
 def with_engagement(posts: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def hour_profile(posts: DataFrame) -> DataFrame:
         .select("post_hour", zero("naive"), zero("valid"))
         .select(
             "*",
-            m.percent(F.col("naive"), F.sum("naive").over(ALL_ROWS)).alias("naive_pct"),
-            m.percent(F.col("valid"), F.sum("valid").over(ALL_ROWS)).alias("valid_pct"),
+            m.percent(F.col("naive"), F.sum("naive").over(all_rows())).alias("naive_pct"),
+            m.percent(F.col("valid"), F.sum("valid").over(all_rows())).alias("valid_pct"),
         )
     )
 
@@ -233,7 +236,7 @@ def sentiment_table(posts: DataFrame, lexicon: dict[str, int] = LEXICON) -> Data
             F.round(F.avg("engagement"), 1).alias("mean_engagement"),
         )
     )
-    return table.withColumn("pct", F.round(m.percent(F.col("posts"), F.sum("posts").over(ALL_ROWS)), 2))
+    return table.withColumn("pct", F.round(m.percent(F.col("posts"), F.sum("posts").over(all_rows())), 2))
 
 
 def sentiment_correlation(posts: DataFrame, lexicon: dict[str, int] = LEXICON) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Session settings and the two helpers that decide where intermediate data lives."""
+"""Session settings and the helpers that decide where intermediate data lives."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,7 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,38 +25,30 @@ def build_session(app: str = "chirrup", master: str | None = None, **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's own setting, or a temporary one in local mode."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            configured = tempfile.mkdtemp(prefix="run-chirrup-")
-        context.setCheckpointDir(configured)
-    return configured or context.getCheckpointDir()
+    """The folder all executors share: what the session names in ``spark.checkpoint.dir``.
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written rows.
-
-    Used where several consumers must see the very same rows (range-partition
-    boundaries are sampled) and to cut the lineage of iterative jobs. Unlike a
-    cache, it survives the loss of executors.
+    Where it names none: a fixed folder in local mode, else one beside the warehouse's tables.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        local = spark.sparkContext.master.startswith("local")
+        configured = "file:///tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return configured.rstrip("/")
 
 
-BROADCAST_ROWS = 100_000
+def new_path(spark: SparkSession, label: str = "rows") -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; a larger one is left to Catalyst's own choice.
+def materialise(df: DataFrame, label: str = "rows") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and go on from the written rows.
 
-    The side is materialised first, so that the count does not compute it twice.
+    Used where several consumers must see the very same rows (range-partition
+    boundaries are sampled) and to cut the lineage of iterative jobs. Unlike a
+    cache, it survives the loss of executors; unlike a checkpoint, later steps read
+    only the columns they use and push their filters down.
     """
-    side = materialise(df)
-    if side.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(side)
-    return side
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
