@@ -35,18 +35,16 @@ def _counts(pairs: dict[str, Column]) -> Column:
     return F.create_map(*parts)
 
 
-TIMELINE = T.ArrayType(
-    T.StructType.fromDDL(
-        "id string, url string, content string, language string, created_at string, account struct<acct:string>, "
-        "reblogs_count bigint, favourites_count bigint, replies_count bigint"
-    )
+TIMELINE = (
+    "array<struct<id:string, url:string, content:string, language:string, created_at:string, account:struct<acct:string>, "
+    "reblogs_count:bigint, favourites_count:bigint, replies_count:bigint>>"
 )
-STORIES = T.StructType.fromDDL(
+STORIES = (
     "hits array<struct<objectID:string, author:string, title:string, story_text:string, comment_text:string, "
     "url:string, created_at_i:bigint, points:bigint, num_comments:bigint>>"
 )
-ARTICLES = T.StructType.fromDDL("articles array<struct<url:string, title:string, domain:string, seendate:string>>")
-ITEM = T.StructType.fromDDL("guid string, link string, title string, description string, pubDate string, source string")
+ARTICLES = "articles array<struct<url:string, title:string, domain:string, seendate:string>>"
+ITEM = "guid string, link string, title string, description string, pubDate string, source string"
 
 
 def timeline(payloads: DataFrame, column: str = "payload", source: str = "mastodon") -> DataFrame:
