@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chirrup.llm import decontaminate, exact_dedup, mixing, secret_ledger
+from chirrup.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, personal_data, secret_ledger, toxicity
 from chirrup.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predictions(docs, language_id.learn(docs))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: one scan into a new ledger, findings joined back to every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,6 +37,24 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like control strings, rendered and read back."""
+    odd = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema))
+    return chat_format.read_back(chat_format.rendered(chat_format.messages(chat_format.turns_as_events(rows))))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data.spans(table(spark, sf_dir, "documents"), personal_data.train(spark))
+    return rows.select("doc_id", *[f"n_{k}" for k in personal_data.BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "_mix.copies")
@@ -79,6 +102,17 @@ ranked AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked
 """
 
+OP6 = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + length(role) + length(text) + length(regexp_replace(role, '[^\\#<\n]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
 OP9 = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   (('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, 'null'))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
@@ -99,9 +133,13 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_secrets": op2_secrets,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat_format": op6_chat_format,
+    "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
 }
-ORACLE = {"op2_secrets": OP2, "op3_exact_dedup": OP3, "op9_mixing": OP9}
+ORACLE = {"op2_secrets": OP2, "op3_exact_dedup": OP3, "op6_chat_format": OP6, "op9_mixing": OP9}
