@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chirrup.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, personal_data, secret_ledger, toxicity
+from chirrup.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, mixing, personal_data, secret_ledger, toxicity
 from chirrup.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "_mix.copies")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def _secret_spans() -> str:
     """Spans of one text per rule, from the lengths of what a pattern matches and of what lies between."""
     patterns = {
@@ -141,5 +145,6 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE = {"op2_secrets": OP2, "op3_exact_dedup": OP3, "op6_chat_format": OP6, "op9_mixing": OP9}
