@@ -47,9 +47,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts; null texts are empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if binary else "")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

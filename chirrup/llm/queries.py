@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chirrup.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, mixing, personal_data, secret_ledger, toxicity
+from chirrup.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, mixing, personal_data, repeated_spans, secret_ledger, toxicity
 from chirrup.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.rendered(chat_format.messages(chat_format.turns_as_events(rows))))
 
 
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = personal_data.spans(table(spark, sf_dir, "documents"), personal_data.train(spark))
     return rows.select("doc_id", *[f"n_{k}" for k in personal_data.BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -143,6 +147,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
+    "op7_repeated_spans": op7_repeated_spans,
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
