@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from chirrup.llm.common import SPACES, text_of
+from chirrup.llm.common import SPACES, sized_side, text_of
 from chirrup.session import materialise, new_path
 
 SHARD_KEYS = 1 << 16
@@ -266,10 +266,18 @@ def decisions(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    key = F.struct(digest().alias("d"), F.coalesce("doc_id", F.lit(LAST)).alias("i"))
-    stay = decisions(docs).where("kept").select(F.unhex("text_sha256").alias("_dd"), F.coalesce("doc_id", F.lit(LAST)).alias("_di"))
-    rows = docs.withColumn("_d", key["d"]).withColumn("_i", key["i"])
-    rows = rows.join(stay, (F.col("_d") == F.col("_dd")) & (F.col("_i") == F.col("_di")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_d", "_i").orderBy(F.lit(1)))  # rows equal in id and text
-    return rows.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Only what goes is listed and, if its counted size allows, sent to where the texts are. Rows that
+    repeat an id and a text can't be told apart by that list: of these, one is picked by number.
+    """
+    chosen = materialise(decisions(docs), "dedup-decisions")
+    row = [F.unhex("text_sha256").alias("_dd"), F.coalesce("doc_id", F.lit(LAST)).alias("_di")]
+    same = (digest() == F.col("_dd")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("_di"))
+    others = chosen.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*row)
+    again = chosen.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(*row).distinct()
+    others, again = sized_side(materialise(others, "dedup-others"), 64), sized_side(materialise(again, "dedup-again"), 64)
+    once = docs.join(others.unionByName(again), same, "left_anti")
+    nth = F.row_number().over(Window.partitionBy(digest(), "doc_id").orderBy(F.lit(1)))
+    repeated = docs.join(again, same, "left_semi").withColumn("_n", nth).where("_n = 1").select(*docs.columns)
+    return once.unionByName(repeated)

@@ -87,16 +87,16 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, n (shingles), key of the set; where the set is new to the task also its keys and point."""
+    """Per row doc_id, tag (of the text), n (shingles), unit; where the set is new to the task also its keys and point."""
     buckets, levels = frequent(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("unit", pa.int64()), ("sigs", pa.list_(pa.int64())), ("point", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("unit", pa.int64()), ("sigs", pa.list_(pa.int64())), ("point", pa.binary())])
 
     def describe(batches):
         level = np.zeros(SKETCH, np.int8)
         level[buckets] = levels
         seen: set[int] = set()
         for b in batches:
-            ids = b.column("doc_id")
+            ids, tags = b.column("doc_id"), b.column("tag")
             for first, end, data, offsets in bytewise.slices(b.column("text")):
                 out = ([], [], [], [])
                 for s in bytewise.shingle_sets(data, offsets, WIDTH):
@@ -110,9 +110,10 @@ def units(docs: DataFrame) -> DataFrame:
                         sigs, point = s[order[: needed_prefix(len(s))]].view(np.int64), group_counts(s).tobytes()
                     for column, value in zip(out, (len(s), key, sigs if new else None, point if new else None)):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), *[pa.array(c, schema.field(i + 1).type) for i, c in enumerate(out)]], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), tags.slice(first, end - first), *[pa.array(c, schema.field(i + 2).type) for i, c in enumerate(out)]], schema=schema)
 
-    return materialise(docs.select("doc_id", text_of().alias("text")).mapInArrow(describe, "doc_id long, n long, unit long, sigs array<long>, point binary"), "jaccard-units")
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("tag"), text_of().alias("text"))
+    return materialise(rows.mapInArrow(describe, "doc_id long, tag long, n long, unit long, sigs array<long>, point binary"), "jaccard-units")
 
 
 def _shared(batches):
@@ -365,20 +366,31 @@ def unit_components(docs: DataFrame, described: DataFrame) -> DataFrame | None:
     return labels
 
 
-def linked_documents(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _with_first(docs: DataFrame) -> DataFrame:
+    """Per row doc_id, tag, n and ``first``: (id, tag) of the first row of its component; null for empty sets."""
     described = units(docs)
     labels = unit_components(docs, described)
-    own = described.where("n > 0").groupBy("unit").agg(F.min("doc_id").alias("least"))
+    row = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "tag")
+    own = described.where("n > 0").groupBy("unit").agg(F.min(row).alias("first"))
     if labels is not None:
         own = own.join(labels, "unit", "left")
-        whole = own.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("whole"))
-        own = own.join(whole, "label", "left").withColumn("least", F.coalesce("whole", "least"))
-    rows = described.select("doc_id", "n", "unit").join(own.select("unit", "least"), "unit", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        whole = own.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("first").alias("whole"))
+        own = own.join(whole, "label", "left").withColumn("first", F.coalesce("whole", "first"))
+    return described.select("doc_id", "tag", "n", "unit").join(own.select("unit", "first"), "unit", "left").drop("unit")
+
+
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    component = F.when(F.col("n") > 0, F.nullif("first.id", F.lit(LAST))).otherwise(F.col("doc_id"))
+    return _with_first(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns."""
-    stay = linked_documents(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """``docs`` without the rows that are not the first of their component, with all their columns.
+
+    Rows equal in id and text are one document here. What goes is less than what stays, so only the
+    list of what goes is moved, if its counted size allows.
+    """
+    rows = _with_first(docs).where((F.col("n") > 0) & ((F.coalesce("doc_id", F.lit(LAST)) != F.col("first.id")) | (F.col("tag") != F.col("first.tag"))))
+    gone = sized_side(materialise(rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("_gone"), F.col("tag").alias("_tag")), "jaccard-gone"), 24)
+    return docs.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_tag")), "left_anti")
