@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chirrup.llm.common import SPACES, sized_side, text_of
@@ -167,11 +168,12 @@ def _combine(kind: int, shards: int):
 
 def _update(batches):
     """Streams the events of shards, one shard after the other, and gives each shard's new rows."""
-    names = [c.split()[0] for c in EVENT.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in EVENT.split(", ")])
 
     def frame(rows):
-        pdf = pd.DataFrame(rows, columns=names)
-        return pdf.astype({c: "Int64" for c in ("doc_id", "row", "n")} | {c: "Int32" for c in ("shard", "kind", "buckets")})
+        columns = zip(*rows) if rows else [[]] * len(schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def closed(shard, number):
         shard.ready()
@@ -185,7 +187,7 @@ def _update(batches):
 
     shard, number, loading = None, None, True
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in names]
+        columns = [batch.column(c).to_pylist() for c in schema.names]
         for s, kind, digest, doc_id, row, n, buckets, cells in zip(*columns):
             if s != number:
                 if shard is not None:
@@ -207,16 +209,6 @@ def _update(batches):
         yield from closed(shard, number)
 
 
-def _update_arrow(batches):
-    import pyarrow as pa
-
-    schema = pa.schema(
-        [("shard", pa.int32()), ("kind", pa.int32()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("buckets", pa.int32()), ("cells", pa.binary())]
-    )
-    for pdf in _update(batches):
-        yield pa.RecordBatch.from_pandas(pdf, schema=schema, preserve_index=False)
-
-
 class DigestIndex:
     """The index as a sequence of epochs below ``path``; ``state`` is the newest epoch, or None."""
 
@@ -235,7 +227,7 @@ class DigestIndex:
             own = own.mapInPandas(_combine(kind, self.shards), EVENT)
             events = own if events is None else events.unionByName(own)
         keys = ["shard", "kind", "digest", "doc_id", "row"]
-        state = events.repartition(self.shards, "shard").sortWithinPartitions(*keys).mapInArrow(_update_arrow, EVENT)
+        state = events.repartition(self.shards, "shard").sortWithinPartitions(*keys).mapInArrow(_update, EVENT)
         self.epoch += 1
         state.write.parquet(f"{self.path}/epoch={self.epoch}")
         self.state = self.spark.read.schema(EVENT).parquet(f"{self.path}/epoch={self.epoch}")

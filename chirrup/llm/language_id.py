@@ -9,7 +9,8 @@ which would level the sizes.
 
 Dictionaries are learned from a bounded sample: of each language, pieces of ``PIECE`` characters
 are drawn by hash until ``SAMPLE`` characters are expected. The driver gathers that sample only.
-Lines that come twice in it (licences, slogans) say nothing about a language and are left out.
+Lines that come twice in it (licences, slogans) say nothing about a language and are left out, unless
+a language has no others.
 
 Nulls and other cases: texts that are null or have no letter get ``und``, score 0 and are rejected;
 rows without a language, a text or in the held-out fold teach nothing; with no language learned
@@ -56,7 +57,7 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE, size: int = DICTIONARY) -> d
     for r in sorted(pieces.collect(), key=lambda r: (r["lang"], hash_of(r["doc_id"], r["p"]["i"]), r["p"]["t"])):
         texts[r["lang"]] += [words(line) for line in r["p"]["t"].split("\n")]
     often = Counter(line for lines in texts.values() for line in lines)
-    return {lang: " ".join(x for x in lines if often[x] == 1).encode()[-size:] for lang, lines in texts.items()}
+    return {lang: " ".join([x for x in lines if often[x] == 1] or dict.fromkeys(lines)).encode()[-size:] for lang, lines in texts.items()}
 
 
 def words(text: str) -> str:
