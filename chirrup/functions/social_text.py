@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chirrup.constants import CHAR_NGRAMS, CONTRACTIONS, NEGATION_WINDOW, NEGATIONS, SADS, SMILES, STOPWORDS
-from chirrup.functions.strings import SPACE, contains_any, has_bytes, squeeze, unescape_html
+from chirrup.functions.strings import SPACE, contains_any, has_bytes, let, squeeze, unescape_html
 
 EMPTY = "<empty>"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]"
@@ -35,10 +35,7 @@ def decode_unicode_escapes(text: Column) -> Column:
     """
     short = r"\\u[0-9a-fA-F]{4}"
     wide = r"\\U00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}"
-    marked = F.when(text.contains("\\u") | text.contains("\\U"), text)
-    found = F.array_distinct(F.regexp_extract_all(marked, F.lit(f"({short}|{wide})"), F.lit(1)))
     backslash = lambda e: F.lower(e).isin("\\u005c", "\\u0000005c")
-    ordered = F.concat(F.filter(found, lambda e: ~backslash(e)), F.filter(found, backslash))
 
     def one(acc: Column, e: Column) -> Column:
         hexes = F.substring(e, 3, 8)
@@ -47,7 +44,12 @@ def decode_unicode_escapes(text: Column) -> Column:
         )
         return F.replace(acc, e, char)
 
-    return F.when(marked.isNotNull(), F.aggregate(ordered, text, one)).otherwise(text)
+    def decoded(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({short}|{wide})"), F.lit(1)))
+        ordered = let(found, lambda f: F.concat(F.filter(f, lambda e: ~backslash(e)), F.filter(f, backslash)))
+        return F.when(t.contains("\\u") | t.contains("\\U"), F.aggregate(ordered, t, one)).otherwise(t)
+
+    return let(text, decoded)
 
 
 DECODED = "_decoded"
@@ -60,13 +62,11 @@ def with_base_clean(df: DataFrame, text: str, target: str = "clean") -> DataFram
     squeezing, which is pruned where nobody reads ``clean``.
     """
     out = df.withColumn(DECODED, decode_unicode_escapes(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    t = F.col(DECODED)
-    for _ in range(2):  # some rows are encoded twice
-        coded = t.contains("&")
-        out = out.withColumn(DECODED, F.when(coded, unescape_html(F.when(coded, t))).otherwise(t))
-    straight = F.when(has_bytes(t, "E280"), F.translate(t, "’‘“”", "''\"\"")).otherwise(t)
+    # a row may be encoded twice
+    whole = unescape_html(F.col(DECODED), levels=2)
+    straight = let(whole, lambda t: F.when(has_bytes(t, "E280"), F.translate(t, "’‘“”", "''\"\"")).otherwise(t))
     out = out.withColumn(DECODED, straight)
-    return out.withColumn(target, squeeze(t))
+    return out.withColumn(target, squeeze(F.col(DECODED)))
 
 
 def with_normalised(df: DataFrame, decoded: str = DECODED, target: str = "normalised") -> DataFrame:
@@ -75,27 +75,32 @@ def with_normalised(df: DataFrame, decoded: str = DECODED, target: str = "normal
     Most texts hold none of these. A plain search for a character each pattern needs decides
     whether the pattern is run at all.
     """
-    out = df.withColumn("_marked", F.lower(decoded))
-    t = F.col("_marked")
-    face = contains_any(t, (":", ";", "=)", "t_t"))
     marks = (
-        (contains_any(t, ("://", "www.")), ((URL, " <url> "),)),
-        (t.contains("@"), (("@([a-z0-9_]+)", " <user> "),)),
-        (t.contains("#"), (("#([a-z0-9_]+)", "$1 <hashtag> "),)),
-        (face, ((SMILE, " <smile> "), (SAD, " <sad> "))),
-        (has_bytes(t, "F0", "E2", "EF"), ((EMOJI, " <emoji> "),)),
-        *[(t.contains(p.replace("\\b", "")), ((f"(?U){p}", words),)) for p, words in CONTRACTIONS],
+        (lambda t: contains_any(t, ("://", "www.")), ((URL, " <url> "),)),
+        (lambda t: t.contains("@"), (("@([a-z0-9_]+)", " <user> "),)),
+        (lambda t: t.contains("#"), (("#([a-z0-9_]+)", "$1 <hashtag> "),)),
+        (lambda t: contains_any(t, (":", ";", "=)", "t_t")), ((SMILE, " <smile> "), (SAD, " <sad> "))),
+        (lambda t: has_bytes(t, "F0", "E2", "EF"), ((EMOJI, " <emoji> "),)),
+        *[(lambda t, p=p: t.contains(p.replace("\\b", "")), ((f"(?U){p}", words),)) for p, words in CONTRACTIONS],
     )
+
+    def marking(needed, replacements):
+        def marked(t: Column) -> Column:
+            changed = t
+            for pattern, mark in replacements:
+                changed = F.regexp_replace(changed, pattern, mark)
+            return F.when(needed(t), changed).otherwise(t)
+
+        return marked
+
+    text = F.lower(decoded)
     for needed, replacements in marks:
-        changed = t
-        for pattern, mark in replacements:
-            changed = F.regexp_replace(changed, pattern, mark)
-        out = out.withColumn("_marked", F.when(needed, changed).otherwise(t))
+        text = let(text, marking(needed, replacements))
     stretched = r"([a-z])\1{2,}"
-    shortened = F.concat(F.regexp_replace("_marked", stretched, "$1$1"), F.lit(" <elong>"))
-    out = out.withColumn("_marked", F.when(t.rlike(stretched), shortened).otherwise(t))
+    shortened = lambda t: F.concat(F.regexp_replace(t, stretched, "$1$1"), F.lit(" <elong>"))
+    text = let(text, lambda t: F.when(t.rlike(stretched), shortened(t)).otherwise(t))
     # other characters and white space alike end up as single spaces
-    return out.withColumn(target, F.trim(F.regexp_replace("_marked", "[^a-z0-9<>]+", " "))).drop("_marked")
+    return df.withColumn(target, F.trim(F.regexp_replace(text, "[^a-z0-9<>]+", " ")))
 
 
 def negation_scope(tokens: Column, window: int = NEGATION_WINDOW) -> Column:
@@ -116,15 +121,16 @@ def negation_scope(tokens: Column, window: int = NEGATION_WINDOW) -> Column:
 def with_tokens(df: DataFrame, normalised: str = "normalised", target: str = "tokens") -> DataFrame:
     """Words without stopwords, negations kept and scoped; ``<empty>`` where nothing is left."""
     words = F.filter(F.split(normalised, " "), lambda w: (w != "") & ~w.isin(*STOPWORDS))
-    kept = df.withColumn("_words", words)
-    w = F.col("_words")
-    scoped = F.split(negation_scope(F.array_join(w, " ")), " ")
-    return kept.withColumn(
-        target,
-        F.when(F.size(w) == 0, F.array(F.lit(EMPTY)))
-        .when(F.arrays_overlap(w, F.array(*map(F.lit, NEGATIONS))), scoped)
-        .otherwise(w),
-    ).drop("_words")
+    return df.withColumn(target, let(words, _scoped))
+
+
+def _scoped(words: Column) -> Column:
+    scoped = F.split(negation_scope(F.array_join(words, " ")), " ")
+    return (
+        F.when(F.size(words) == 0, F.array(F.lit(EMPTY)))
+        .when(F.arrays_overlap(words, F.array(*map(F.lit, NEGATIONS))), scoped)
+        .otherwise(words)
+    )
 
 
 def with_bigrams(tokens: Column) -> Column:

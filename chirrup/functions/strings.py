@@ -33,9 +33,13 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White-space runs become one space; ends are stripped."""
-    rare = F.regexp_replace(text, f"[{SPACE}]+", " ")
-    plain = F.regexp_replace(text, r"\s+", " ")
-    return F.trim(F.when(has_bytes(text, *RARE_SPACE_BYTES), rare).otherwise(plain))
+
+    def squeezed(t: Column) -> Column:
+        rare = F.regexp_replace(t, f"[{SPACE}]+", " ")
+        plain = F.regexp_replace(t, r"\s+", " ")
+        return F.trim(F.when(has_bytes(t, *RARE_SPACE_BYTES), rare).otherwise(plain))
+
+    return let(text, squeezed)
 
 
 def contains_any(text: Column, parts) -> Column:
@@ -45,25 +49,47 @@ def contains_any(text: Column, parts) -> Column:
     return found
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once.
+
+    Without this, a column used several times in a step is written out several times when Spark
+    moves a filter below the steps, and a chain of steps grows exponentially.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 @F.pandas_udf(T.StringType())
-def _unescape_all(text: pd.Series) -> pd.Series:
+def _unescape_once(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _unescape_twice(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
+
+
 CORE_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
-def unescape_html(text: Column) -> Column:
-    """HTML entities to characters, one level.
+def _core_entities(text: Column) -> Column:
+    for entity, char in CORE_ENTITIES.items():  # the ampersand last: one level only
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def unescape_html(text: Column, levels: int = 1) -> Column:
+    """HTML entities to characters, one level or two (texts that were encoded twice).
 
     The five core entities stay in the JVM; only texts holding any other reference (named
-    or numeric) are sent to Python, where the full HTML5 table is.
+    or numeric) are sent to Python, once for all levels, where the full HTML5 table is.
     """
-    other = text.rlike("&(?!(?:amp|lt|gt|quot|#39);)[#A-Za-z]")
+    coded_again = "(?:amp;)?" if levels == 2 else ""
+    other = text.rlike(f"&{coded_again}(?!(?:amp|lt|gt|quot|#39);)[#A-Za-z]")
+    in_python = (_unescape_twice if levels == 2 else _unescape_once)(F.when(other, text))
     core = text
-    for entity, char in CORE_ENTITIES.items():  # the ampersand last: one level only
-        core = F.replace(core, F.lit(entity), F.lit(char))
-    return F.when(other, _unescape_all(F.when(other, text))).otherwise(core)
+    for _ in range(levels):
+        core = let(core, lambda c: F.when(F.contains(c, F.lit("&")), _core_entities(c)).otherwise(c))
+    return F.coalesce(in_python, core)
 
 
 def strip_tags(fragment: Column) -> Column:
