@@ -24,7 +24,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,6 +35,7 @@ ENTRIES = 2000
 SHORTEST, LONGEST = 3, 12
 LEAST_COUNT, LEAST_WEIGHT = 8, 1.5
 STEPS = 400
+COUNTED = 100_000  # distinct words that a task holds before it passes them on
 
 #: Phrases in which an entry is not meant.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "class clown", "circus clown", "sore loser", "pond scum")
@@ -49,6 +49,7 @@ LOOK_ALIKES = {
 }
 #: Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
+AROUND = "!|#%&*.,;:?\"'()[]{}<>-_"
 INVISIBLE = "​‌‍⁠﻿­"
 
 
@@ -79,7 +80,9 @@ def folded(text: str | None) -> list[str]:
         if w.isalpha() and w.isascii():
             words.append(w)
             continue
-        core = w.strip("!|$@#%&*.,;:?\"'()[]{}<>-_")
+        core = w.strip(AROUND).rstrip(AROUND + "$@")
+        if len(core) - len(core.lstrip("$@")) > 1:  # decoration; a single one stands for a letter
+            core = core.lstrip(AROUND + "$@")
         if any(c.isalpha() for c in core) and not core.isalpha():
             core = core.translate(SIGNS).translate(DIGITS)
         words += core.translate(FOLDING).split()
@@ -143,18 +146,32 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", fit.alias("fit"))  # rows: see LEARN_ROWS
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 256):
+    """A batch in parts whose texts are few enough to be held as Python strings."""
+    return (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
+
+
 def _count(batches):
-    for pdf in batches:
-        counts = Counter()
-        for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            for w in folded(text):
-                counts[w[:LONGEST], toxic] += 1
-        yield pd.DataFrame([(w, t, n) for (w, t), n in counts.items()], columns=["word", "toxic", "n"])
+    schema = pa.schema([("word", pa.string()), ("toxic", pa.bool_()), ("n", pa.int64())])
+    counts: Counter = Counter()
+
+    def flushed():
+        words, toxic = zip(*counts) if counts else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.bool_()), pa.array(counts.values(), pa.int64())], schema=schema)
+
+    for b in batches:
+        for part in _parts(b):
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                counts.update((w[:LONGEST], toxic) for w in folded(text))
+            if len(counts) > COUNTED:
+                yield flushed()
+                counts.clear()
+    yield flushed()
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, rows: int = LEARN_ROWS, entries: int = ENTRIES) -> Model:
     sample = materialise(_sample(docs, labels, rows), "toxic-sample")
-    words = sample.where("NOT fit").select("text", "toxic").mapInPandas(_count, "word string, toxic boolean, n long")
+    words = sample.where("NOT fit").select("text", "toxic").mapInArrow(_count, "word string, toxic boolean, n long")
     words = materialise(words.groupBy("word").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("o")), "toxic-words")
     totals = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     n_t, n_o = (totals["t"] or 0) + 1, (totals["o"] or 0) + 1
@@ -176,11 +193,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = LEARN_ROWS, entries
 
     def features(batches):
         matcher = Matcher(lexicon)
-        for pdf in batches:
-            f = pd.DataFrame([matcher.features(t) for t in pdf["text"]], columns=list("abcdef"))
-            yield f.assign(toxic=pdf["toxic"].to_numpy())
+        for b in batches:
+            for part in _parts(b):
+                f = np.array([matcher.features(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in f.T], part.column("toxic")], [*"abcdef", "toxic"])
 
-    fitted = sample.where("fit").select("text", "toxic").mapInPandas(features, "a double, b double, c double, d double, e double, f double, toxic boolean").toPandas()
+    fitted = sample.where("fit").select("text", "toxic").mapInArrow(features, "a double, b double, c double, d double, e double, f double, toxic boolean").toPandas()
     y = fitted["toxic"].to_numpy(bool)
     x = fitted[list("abcdef")].to_numpy(float)
     if not len(y) or y.all() or not y.any():
@@ -210,11 +228,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches):
         matcher = Matcher(model.entries)
         for b in batches:
-            if not b.num_rows:
-                continue
-            p = model.scores(np.array([matcher.features(t) for t in b.column("text").to_pylist()]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype("int32"))], ["doc_id", "held_out", "score", "predicted"]
-            )
+            for part in _parts(b):
+                p = model.scores(np.array([matcher.features(t) for t in part.column("text").to_pylist()]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype("int32"))], ["doc_id", "held_out", "score", "predicted"]
+                )
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
