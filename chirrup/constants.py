@@ -91,7 +91,6 @@ CHAR_NGRAMS = (3, 5)
 MIN_DF = 2
 TOPIC_MIN_DF = 5
 TOPIC_MAX_DF = 0.9
-TOPIC_MAX_FEATURES = 8000
 LDA_ITERATIONS = 25
 NMF_ITERATIONS = 300
 CALIBRATION_FOLDS = 3
@@ -138,7 +137,6 @@ ENTITIES = {
 }
 SNOWFLAKE_EPOCH_MS = 1288834974657
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # RFC 4122, names that are URLs
-FEED_CAPS = {"gnews": 50, "gnews_hi": 100, "bing": 25, "feed": 60}
 
 # --- answer texts of the named analyses ---------------------------------------------------
 SAYS = {

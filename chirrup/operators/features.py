@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chirrup.constants import MIN_DF, TOPIC_MAX_DF, TOPIC_MAX_FEATURES, TOPIC_MIN_DF
+from chirrup.constants import MIN_DF, TOPIC_MAX_DF, TOPIC_MIN_DF
 from chirrup.operators.ranking import global_row_number
 from chirrup.session import materialise
 
@@ -52,12 +52,9 @@ def indexed(terms: DataFrame, order: list | None = None) -> DataFrame:
 
 
 def topic_vocabulary(
-    counts: DataFrame, key: str, *, min_df: int = TOPIC_MIN_DF, max_df: float = TOPIC_MAX_DF, limit: int = TOPIC_MAX_FEATURES
+    counts: DataFrame, key: str, *, min_df: int = TOPIC_MIN_DF, max_df: float = TOPIC_MAX_DF
 ) -> DataFrame:
-    """Terms neither rare nor everywhere; of these the most frequent, with an index.
-
-    The limit is the feature of the topic models' vectoriser, not a cut for speed.
-    """
+    """Terms neither rare nor everywhere, with an index by falling frequency."""
     counts = materialise(counts)
     n = counts.agg(F.count_distinct(key).alias("n")).scalar()
     kept = (
@@ -66,8 +63,6 @@ def topic_vocabulary(
         .withColumn("n", n)
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
         .drop("n")
-        .orderBy(F.desc("total"), "term")
-        .limit(limit)
     )
     return indexed(kept, [F.desc("total"), "term"])
 
@@ -88,14 +83,6 @@ def sparse_vectors(cells: DataFrame, key: str, size: int, weight: str = "weight"
     )
 
 
-def vocabulary_size(vocabulary: DataFrame, limit: int) -> int:
-    """Number of terms, refused above ``limit``: a linear model holds them all on the driver."""
-    n = vocabulary.count()
-    if n > limit:
-        raise ValueError(f"{n} terms exceed the limit of {limit}; raise min_df or the limit")
-    return n
-
-
 def stacked(word: DataFrame, char: DataFrame, word_size: int) -> DataFrame:
     """Word and character cells in one space, the characters behind the words."""
     return word.unionByName(char.withColumn("idx", F.col("idx") + F.lit(word_size)))

@@ -193,9 +193,6 @@ class Contrast:
     post_end: str
 
 
-EXACT_CELLS = 4_000_000  # size of the exact distribution's table up to which it is computed
-
-
 def _exact_tail(u: float, small: int, large: int) -> float:
     """P(U >= u) without ties: partitions counted by the Gaussian binomial's coefficients."""
     ways = np.zeros(small * large + 1)
@@ -209,9 +206,11 @@ def _exact_tail(u: float, small: int, large: int) -> float:
     return float(ways[int(math.ceil(u)):].sum() / math.comb(small + large, small))
 
 
-def _rank_sum_p(u: float, a: int, b: int, ties: float) -> float:
+def _rank_sum_p(u: float, a: int, b: int, ties: float, exact: bool = False) -> float:
     big, n = max(u, a * b - u), a + b
-    if min(a, b) <= 8 and ties == 0 and a * b <= EXACT_CELLS:
+    if exact:
+        if ties:
+            raise ValueError("the exact distribution is that of samples without ties")
         return min(1.0, 2 * _exact_tail(big, min(a, b), max(a, b)))
     spread = math.sqrt(a * b / 12.0 * ((n + 1) - ties / (n * (n - 1.0))))
     if spread == 0:
@@ -220,10 +219,17 @@ def _rank_sum_p(u: float, a: int, b: int, ties: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
-@F.pandas_udf(T.DoubleType())
-def rank_sum_p(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
-    """Two-sided Mann-Whitney p: exact for small tie-free samples, else normal with tie and continuity terms."""
-    return pd.Series([_rank_sum_p(*row) for row in zip(u, a.astype(int), b.astype(int), ties)], dtype="float64")
+def rank_sum_p(u: Column | str, a: Column | str, b: Column | str, ties: Column | str, *, exact: bool = False) -> Column:
+    """Two-sided Mann-Whitney p by the normal form with tie and continuity terms.
+
+    ``exact`` asks for the distribution itself: for few rows without ties, its table has a * b cells.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def p(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([_rank_sum_p(*row, exact) for row in zip(u, a.astype(int), b.astype(int), ties)], dtype="float64")
+
+    return p(u, a, b, ties)
 
 
 def rank_sums(df: DataFrame, by: Sequence[str], side: str, value: str) -> DataFrame:

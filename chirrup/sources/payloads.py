@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from chirrup.constants import FEED_CAPS, TOPIC_KEYWORDS
+from chirrup.constants import TOPIC_KEYWORDS
 from chirrup.functions.strings import strip, strip_embed, strip_tags, url_key
-from chirrup.operators.ranking import number_within
 
 
 
@@ -118,11 +117,6 @@ def published(text: Column) -> Column:
     )
 
 
-def capped(df: DataFrame, feed: str, order: list[str], cap: int) -> DataFrame:
-    """The first ``cap`` items of each feed: the feed reader's own limit."""
-    return number_within(df, [feed], order, "_i").where(F.col("_i") <= cap).drop("_i")
-
-
 def on_topic(text: Column, keywords=TOPIC_KEYWORDS) -> Column:
     low = F.lower(text)
     found = F.lit(False)
@@ -138,25 +132,19 @@ def feed_records(
     key: str = "link",
     column: str = "item",
     feed: str = "feed",
-    position: str = "position",
-    cap: int = FEED_CAPS["gnews"],
     keywords=None,
 ) -> DataFrame:
     """Feed items as records, keyed by ``guid`` or ``link``; ``keywords`` keeps a broad feed on topic.
 
-    A broad feed is read to three times its cap before the topic filter, then capped.
+    Every item that has landed is read.
     """
     i = F.col("i")
     parsed = feed_items(items, column).withColumn("_item", i)
-    if keywords is None:
-        parsed = capped(parsed, feed, [position], cap)
-    else:
-        parsed = capped(parsed, feed, [position], 3 * cap)
     raw_key = F.coalesce(i["guid"], i["link"]) if key == "guid" else i["link"]
     parsed = parsed.withColumn("_key", strip(raw_key)).where(F.coalesce(F.col("_key"), F.lit("")) != "")
     if keywords is not None:
         blob = F.concat_ws(" ", strip_tags(i["title"]), strip_tags(i["description"]))
-        parsed = capped(parsed.where(on_topic(blob, keywords)), feed, [position], cap)
+        parsed = parsed.where(on_topic(blob, keywords))
     name = F.lit(source) if keywords is None else F.concat(F.lit(f"{source}_"), F.col(feed))
     author = F.col(feed) if keywords is not None else F.nullif(strip(i["source"]), F.lit(""))
     return parsed.select(

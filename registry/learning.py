@@ -54,7 +54,7 @@ def _split_counts(s):
 
 
 def _manifest(s):
-    return labelled.split_manifest(labelled.stratified_split(s.labelled_text)).select("task", "label", "split", "id_overlap").where("split = 'train'").drop("split")
+    return labelled.split_manifest(labelled.stratified_split(s.labelled_text)).select("task", "label", "split", "rows", "id_overlap")
 
 
 def _fold_counts(s):
@@ -91,7 +91,7 @@ QUERIES = {
     "T1_T3_normalised": on(lambda s: _social(s).select("doc_id", "clean", "normalised")),
     "T4_T5_tokens": on(lambda s: _social(s).select("doc_id", F.array_join("tokens", " ").alias("tokens"))),
     "T6_bigrams": on(
-        lambda s: _social(s).select(F.explode(st.with_bigrams(F.col("tokens"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+        lambda s: _social(s).select(F.explode(st.with_bigrams(F.col("tokens"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     ),
     "T7_char_ngrams": on(_char_term_totals),
     "T8_attributes": on(
@@ -233,10 +233,17 @@ def scored(body):
     return sql(DOCS, SCORED, body=SLICES + body)
 
 
+STRATA = """
+      , g AS (SELECT sentiment_label || '||' || topic_category AS both_, sentiment_label AS one_ FROM labelled),
+      s AS (SELECT CASE WHEN (SELECT min(c) FROM (SELECT count(*) AS c FROM g GROUP BY both_)) >= 2 THEN both_ ELSE one_ END AS stratum FROM g),
+      c AS (SELECT stratum, count(*) AS n, (SELECT count(*) FROM s) AS t FROM s GROUP BY 1),
+      e AS (SELECT *, n * ceil(t * 0.2::DOUBLE) / t AS x FROM c), f AS (SELECT *, floor(x) AS fl FROM e),
+      z AS (SELECT *, fl + CAST(row_number() OVER (ORDER BY x - fl DESC, stratum) <= ceil(t * 0.2::DOUBLE) - (SELECT sum(fl) FROM f) AS INT) AS k FROM f)"""
+
 ORACLE = {
     "T1_T3_normalised": sql(SOCIAL, body=NORMAL + " SELECT id AS doc_id, clean, normalised FROM n5"),
     "T4_T5_tokens": sql(SOCIAL, body=NORMAL + WORDS + " SELECT id AS doc_id, string_agg(t, ' ' ORDER BY i) AS tokens FROM tok GROUP BY id"),
-    "T6_bigrams": sql(SOCIAL, body=NORMAL + TERMS + " SELECT term, count(*) AS n FROM terms GROUP BY term HAVING count(*) >= 3"),
+    "T6_bigrams": sql(SOCIAL, body=NORMAL + TERMS + " SELECT term, count(*) AS n FROM terms GROUP BY term"),
     "T7_char_ngrams": sql(SOCIAL, body=NORMAL + GRAMS + " SELECT term AS gram, count(*) AS n FROM terms GROUP BY term"),
     "T8_attributes": sql(SOCIAL, body=NORMAL + WORDS + ATTR + " SELECT text_id AS doc_id, * EXCLUDE (text_id) FROM attr"),
     "T9_strip_tags": f" SELECT page_id, {squeeze("regexp_replace(html, '<[^>]+>', ' ', 'g')")} AS text FROM pages",
@@ -259,16 +266,12 @@ ORACLE = {
       UNION ALL SELECT 'topic_category', topic_category, count(*) FROM labelled GROUP BY 2"""),
     "N4_length_profile": sql(LABELLED, body=CLEAN_LABELLED + """
       SELECT min(len(clean)) AS min, round(avg(len(clean)), 1) AS mean, max(len(clean)) AS max, quantile_cont(len(clean)::DOUBLE, 0.5) AS p50 FROM ranked WHERE NOT empty AND NOT again"""),
-    "N5_split_counts": sql(LABELLED, body="""
-      , g AS (SELECT sentiment_label || '||' || topic_category AS both_, sentiment_label AS one_ FROM labelled),
-      s AS (SELECT CASE WHEN (SELECT min(c) FROM (SELECT count(*) AS c FROM g GROUP BY both_)) >= 2 THEN both_ ELSE one_ END AS stratum FROM g),
-      c AS (SELECT stratum, count(*) AS n, (SELECT count(*) FROM s) AS t FROM s GROUP BY 1),
-      e AS (SELECT *, n * ceil(t * 0.2::DOUBLE) / t AS x FROM c), f AS (SELECT *, floor(x) AS fl FROM e),
-      z AS (SELECT *, fl + CAST(row_number() OVER (ORDER BY x - fl DESC, stratum) <= ceil(t * 0.2::DOUBLE) - (SELECT sum(fl) FROM f) AS INT) AS k FROM f)
+    "N5_split_counts": sql(LABELLED, body=STRATA + """
       SELECT 'test' AS split, stratum, CAST(k AS BIGINT) AS "rows" FROM z WHERE k > 0 UNION ALL SELECT 'train', stratum, CAST(n - k AS BIGINT) FROM z WHERE n > k"""),
-    "N5_manifest": sql(LABELLED, body="""
-      SELECT DISTINCT 'sentiment_label' AS task, sentiment_label AS label, 0::BIGINT AS id_overlap FROM labelled
-      UNION ALL SELECT DISTINCT 'topic_category', topic_category, 0::BIGINT FROM labelled"""),
+    "N5_manifest": sql(LABELLED, body=STRATA + """
+      , p AS (SELECT 'test' AS split, stratum, CAST(k AS BIGINT) AS r FROM z UNION ALL SELECT 'train', stratum, CAST(n - k AS BIGINT) FROM z),
+      l AS (SELECT split, r, 'sentiment_label' AS task, split_part(stratum, '||', 1) AS label FROM p UNION ALL SELECT split, r, 'topic_category', split_part(stratum, '||', 2) FROM p)
+      SELECT task, label, split, CAST(sum(r) AS BIGINT) AS "rows", 0::BIGINT AS id_overlap FROM l GROUP BY ALL HAVING sum(r) > 0"""),
     "N6_word_tfidf": sql(DOCS, body=NORMAL + TERMS + TFIDF + " SELECT text_id, term, round(weight, 9) AS weight FROM weights"),
     "N6_char_tfidf": sql(DOCS, body=NORMAL + GRAMS + TFIDF + " SELECT text_id, count(*) AS n_features, round(sum(weight), 6) AS weight_sum FROM weights GROUP BY 1"),
     "N7_union_features": sql(DOCS, body=NORMAL + TERMS + TFIDF + GRAMS.replace("terms AS", "grams AS") + """
@@ -278,7 +281,7 @@ ORACLE = {
     "N8_topic_vocabulary": sql(DOCS, body=NORMAL + WORDS + """
       , tf AS (SELECT id, t AS term, count(*) AS tf FROM tok GROUP BY ALL),
       v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.9::DOUBLE * (SELECT count(DISTINCT id) FROM tf))
-      SELECT *, row_number() OVER (ORDER BY total DESC, term) - 1 AS idx FROM v ORDER BY total DESC, term LIMIT 8000"""),
+      SELECT *, row_number() OVER (ORDER BY total DESC, term) - 1 AS idx FROM v"""),
     "N14_fold_counts": sql(LABELLED, body="""
       , c AS (SELECT sentiment_label, count(*) AS n FROM labelled GROUP BY 1), k AS (SELECT greatest(2, least(5, min(n))) AS k FROM c)
       SELECT sentiment_label, CAST(f AS INTEGER) AS fold, CAST(n // k AS BIGINT) + CAST(f < n % k AS BIGINT) AS "rows" FROM c, k, range(5) r(f) WHERE f < k"""),

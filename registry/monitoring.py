@@ -108,12 +108,15 @@ def _articles(s):
 def _items(s):
     url = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     topic = F.when(F.col("page_id") % 2 == 0, "India women win the TROPHY").otherwise("weather")
+    number = lambda n: (F.col("page_id") % n).cast("string")
+    stamp = F.concat(F.lit("Mon, "), (F.col("page_id") % 28 + 1).cast("string"), F.lit(" Sep 2026 "), F.lpad(number(24), 2, "0"), F.lit(":30:00 GMT"))
+    stamp = F.when(F.col("page_id") % 7 == 0, "some day in September").otherwise(stamp)
     return s.pages.select(
         F.concat(F.lit("feed"), (F.col("page_id") % 3).cast("string")).alias("feed"), F.col("page_id").alias("position"),
         F.concat(
             F.lit("<item><guid>"), url, F.lit("</guid><link>"), url, F.lit("</link><title>"), topic,
             F.lit("</title><description>&lt;b&gt;day&lt;/b&gt; "), F.col("page_id").cast("string"),
-            F.lit("</description><pubDate>Mon, 21 Sep 2026 10:30:00 GMT</pubDate><source>The Paper</source></item>"),
+            F.lit("</description><pubDate>"), stamp, F.lit("</pubDate><source>The Paper</source></item>"),
         ).alias("item"),
     )
 
@@ -191,14 +194,14 @@ QUERIES = {
     "S14_timeline": on(lambda s: _timeline(s).select(*SHORT, F.col("engagement")["reblogs"].alias("reblogs"))),
     "S14_stories": on(lambda s: _stories(s).select(*SHORT, F.col("engagement")["points"].alias("points"))),
     "S14_articles": on(lambda s: _articles(s).select(*SHORT)),
-    "S15_feed": on(lambda s: payloads.feed_records(_items(s), source="gnews", key="guid", cap=50).select(*SHORT)),
-    "S16_topic_feed": on(lambda s: payloads.feed_records(_items(s), source="feed", cap=20, keywords=payloads.TOPIC_KEYWORDS).select(*SHORT)),
+    "S15_feed": on(lambda s: payloads.feed_records(_items(s), source="gnews", key="guid").select(*SHORT)),
+    "S16_topic_feed": on(lambda s: payloads.feed_records(_items(s), source="feed", keywords=payloads.TOPIC_KEYWORDS).select(*SHORT)),
     "S17_embeds": on(_embeds),
     "S18_url_keys": on(lambda s: s.pages.select("page_id", payloads.url_key(F.col("url")).alias("key"))),
     "A20_written_features": on(_features_written),
     "L1_new_records": on(_new),
     "L2_L3_window_and_arc": on(lambda s: live.tagged(files.first_per_record(s.event_log), **WINDOW).select("record_id", "arc")),
-    "L4_scope": on(lambda s: live.with_scope(s.event_log.where("source = 'gnews'"), "global").groupBy("scope").agg(F.count(F.lit(1)).alias("records"))),
+    "L4_scope": on(lambda s: live.with_scope(s.event_log, "global").groupBy("source", "scope").agg(F.count(F.lit(1)).alias("records"))),
     "L5_sweep_log": on(_sweep_log),
     "L6_outcomes": on(_outcomes),
     "L7_corpus": on(lambda s: _corpus(s).select("record_id", "text_full", "ts_local", "hour_local", "date_local", "kind", "is_hindi", "arc")),
@@ -255,6 +258,8 @@ HITS = ", hits AS (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(text,
 ) + ")"
 FEED_URL = "url"
 
+STAMP = "CASE WHEN page_id % 7 <> 0 THEN make_timestamp(2026, 9, page_id % 28 + 1, page_id % 24, 30, 0) END"
+
 ORACLE = {
     "S1_S2_raw_strings": sql(POSTS, RAW, body="""
       SELECT count(*) AS "rows", count(*) AS last_row_no, count(*) AS row_nos, count(*) FILTER (text_content = '') AS blank_texts,
@@ -277,11 +282,9 @@ ORACLE = {
     "S14_articles": f"""SELECT 'gdelt:' || {KEY.format("url")} AS record_id, 'gdelt' AS source, 'e.org' AS author, 'Page ' || page_id AS title, CAST(NULL AS VARCHAR) AS text, url,
       TIMESTAMP '2026-09-20 10:30:00' AS created_at FROM pages""",
     "S15_feed": f"""SELECT 'gnews:' || {KEY.format("url")} AS record_id, 'gnews' AS source, 'The Paper' AS author, CASE WHEN page_id % 2 = 0 THEN 'India women win the TROPHY' ELSE 'weather' END AS title,
-      'day ' || page_id AS text, url, TIMESTAMP '2026-09-21 10:30:00' AS created_at FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) <= 50""",
-    "S16_topic_feed": f"""WITH f AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) <= 60),
-      g AS (SELECT * FROM f WHERE page_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) <= 20)
-      SELECT 'feed_feed' || page_id % 3 || ':' || {KEY.format("url")} AS record_id, 'feed_feed' || page_id % 3 AS source, 'feed' || page_id % 3 AS author, 'India women win the TROPHY' AS title,
-      'day ' || page_id AS text, url, TIMESTAMP '2026-09-21 10:30:00' AS created_at FROM g""",
+      'day ' || page_id AS text, url, {STAMP} AS created_at FROM pages""",
+    "S16_topic_feed": f"""SELECT 'feed_feed' || page_id % 3 || ':' || {KEY.format("url")} AS record_id, 'feed_feed' || page_id % 3 AS source, 'feed' || page_id % 3 AS author, 'India women win the TROPHY' AS title,
+      'day ' || page_id AS text, url, {STAMP} AS created_at FROM pages WHERE page_id % 2 = 0""",
     "S17_embeds": """SELECT 'xsynd:' || event_id AS record_id, 'xsynd' AS source, 'a' || user_id AS author, CAST(NULL AS VARCHAR) AS title, 'one two & ' || event_type AS text,
       'https://x.com/acct/status/' || event_id AS url, date_trunc('second', ts) AS created_at FROM events, range(2)""",
     "S18_url_keys": f"SELECT page_id, {KEY.format('url')} AS key FROM pages",
@@ -291,7 +294,7 @@ ORACLE = {
     "L2_L3_window_and_arc": sql(EVENT_LOG, body="""
       SELECT record_id, CASE WHEN ts_ist >= TIMESTAMP '2024-01-15' THEN 'live' ELSE 'retro' END AS arc FROM corpus
       WHERE ts_ist >= TIMESTAMP '2024-01-03 00:00:00' AND ts_ist <= TIMESTAMP '2024-01-28 20:30:00'"""),
-    "L4_scope": sql(EVENT_LOG, body=" SELECT 'global' AS scope, count(*) AS records FROM event_log WHERE source = 'gnews'"),
+    "L4_scope": sql(EVENT_LOG, body=" SELECT source, 'global' AS scope, count(*) AS records FROM event_log GROUP BY 1"),
     "L5_sweep_log": sql(EVENT_LOG, body="""
       SELECT sweep_id, any_value(r.mode) AS mode, any_value(r.at_) AS at, any_value(r.n) AS new_records, count(DISTINCT source) AS fetches
       FROM event_log LEFT JOIN (SELECT sweep_id, any_value(sweep_mode) AS mode, max(collected_at) AS at_, count(*) AS n FROM corpus GROUP BY 1) r USING (sweep_id) GROUP BY sweep_id"""),

@@ -73,10 +73,25 @@ def test_sparse_vectors_and_limit(spark):
     cells = spark.createDataFrame([(1, 4, 2.0), (1, 0, 1.0), (2, 3, 5.0)], "d int, idx int, weight double")
     got = {r.d: r.features for r in features.sparse_vectors(cells, "d", 6).collect()}
     assert got == {1: SparseVector(6, {0: 1.0, 4: 2.0}), 2: SparseVector(6, {3: 5.0})}
-    with pytest.raises(ValueError):
-        features.vocabulary_size(cells, 2)
-    with pytest.raises(ValueError):
-        mo.TextFeatures.fit(spark.createDataFrame([(["a", "b"],), (["a", "b"],)], "word_terms array<string>"), ("word",), limit=2)
+
+
+def test_filters_above_the_text_steps_stay_small(docs):
+    """A filter on a derived column is substituted through all steps: their size must not explode."""
+    import time
+
+    from chirrup.functions import social_text as st
+    from chirrup.operators import evaluation as ev
+
+    text = docs.select("text_id", "post_text", "topic_category")
+    rows = st.normalise_corpus(text, "post_text", attributes=True)
+    spec = mo.Spec("nb_word", "nb", "word", ({"alpha": 1.0},))
+    labels = sorted(r[0] for r in docs.select("topic_category").distinct().collect())
+    model = mo.train_classifier(docs, "post_text", "topic_category", labels, spec, {"alpha": 1.0}, task="topic")
+    scored = model.transform(text).select(F.col("topic_category").alias("true"), F.col("pred_topic").alias("pred"))
+    for plan in (rows.where("n_tokens > 5"), rows.select("text_id", F.explode("tokens").alias("t")), ev.confusion(scored, labels)):
+        began = time.time()
+        plan._jdf.queryExecution().optimizedPlan()
+        assert time.time() - began < 4  # 2 s on an idle machine
 
 
 def test_split_and_folds(docs):
