@@ -114,26 +114,46 @@ def grouped_histogram(
         .groupBy(*by, value)
         .agg(*[c.alias(n) for n, c in counts.items()])
     )
-    run = running_totals(hist, [*by, value], names)
     if not by:
-        return run
-    ends = run.groupBy(*by).agg(
-        *[F.max(f"{n}_cum").alias(f"_end_{n}") for n in names],
-        *[F.sum(n).alias(f"_sum_{n}") for n in names],
-    )
-    joined = run.drop(*[f"{n}_all" for n in names]).join(ends, list(by))
+        return running_totals(hist, [value], names)
+    ranged = in_ranges(hist, [*by, value])
+    inside = Window.partitionBy(_SLICE, *by).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.select("*", *[F.sum(n).over(inside).alias(f"_in_{n}") for n in names])
+    joined = _with_group_parts(run, by, _group_parts(ranged, by, {n: F.sum(n) for n in names}))
     return joined.select(
         *by,
         value,
         *names,
-        *[
-            (F.col(f"{n}_cum") - (F.col(f"_end_{n}") - F.col(f"_sum_{n}"))).alias(f"{n}_cum")
-            for n in names
-        ],
-        *[F.col(f"_sum_{n}").alias(f"{n}_all") for n in names],
+        *[(F.col(f"{n}_before") + F.col(f"_in_{n}")).alias(f"{n}_cum") for n in names],
+        *[F.col(f"{n}_all") for n in names],
     )
 
 
+def _group_parts(ranged: DataFrame, by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Per range and group: where the group starts in the range, what of it earlier ranges hold, and its whole.
+
+    As many rows as ranges and groups together, whatever the size of a group.
+    """
+    along = Window.partitionBy(*by).orderBy(_SLICE)
+    earlier, whole = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = ranged.groupBy(_SLICE, *by).agg(F.min(_POS).alias("_first"), *[agg.alias(f"_t_{n}") for n, agg in totals.items()])
+    return sums.select(
+        F.col(_SLICE).alias("_of"),
+        *[F.col(b).alias(f"_by_{b}") for b in by],
+        "_first",
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"{n}_before") for n in totals],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in totals],
+    )
+
+
+def _with_group_parts(rows: DataFrame, by: Sequence[str], parts: DataFrame) -> DataFrame:
+    """Joins on range and group: a hot group is spread over its ranges."""
+    same = F.col(_SLICE) == F.col("_of")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return rows.join(parts, same)
+
+
 def average_ranks(hist: DataFrame, count: str = "n") -> DataFrame:
     """Mid-rank of each distinct value, from a histogram with running counts."""
     return hist.withColumn(
@@ -188,12 +208,12 @@ def number_within(
 ) -> DataFrame:
     """Row number inside each group, for groups too large for one task.
 
-    Rows are numbered once over (group, order); a group's own numbers follow by
-    subtracting the number at which it starts.
+    Rows are cut into ranges over (group, order) and written once; a row's number is its place
+    in its group's part of the range, after what earlier ranges hold of the group.
     """
-    numbered = materialise(global_row_number(df, [*by, *order], "_g"))
-    starts = numbered.groupBy(*by).agg((F.min("_g") - 1).alias("_start"), F.count(F.lit(1)).alias("_size"))
-    out = numbered.join(starts, list(by)).withColumn(name, F.col("_g") - F.col("_start"))
+    ranged = in_ranges(df, [*by, *order])
+    out = _with_group_parts(ranged, by, _group_parts(ranged, by, {"_n": F.count(F.lit(1))}))
+    out = out.withColumn(name, F.col("_n_before") + F.col(_POS) - F.col("_first") + 1)
     if total:
-        out = out.withColumn(total, F.col("_size"))
+        out = out.withColumn(total, F.col("_n_all"))
     return out.select(*df.columns, name, *([total] if total else []))
