@@ -78,6 +78,12 @@ def read_strings(spark: SparkSession, path: str, columns) -> DataFrame:
     return rows.fillna("").select(*columns)
 
 
+def write_strings(df: DataFrame, path: str) -> None:
+    """CSV that ``read_strings`` reads back cell by cell: quotes doubled, white space kept."""
+    plain = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**plain).csv(path)
+
+
 def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
     return read_strings(spark, path, RAW_POSTS)
 
@@ -147,8 +153,8 @@ def write_intake(intake, users: DataFrame, folder: str) -> None:
     intake.analysis.write.mode("overwrite").partitionBy("post_month").parquet(f"{folder}/posts")
     intake.analysis.write.mode("overwrite").json(f"{folder}/posts_json")
     users.write.mode("overwrite").parquet(f"{folder}/users")
-    intake.held_out.write.mode("overwrite").option("header", True).csv(f"{folder}/held_out")
-    intake.log.write.mode("overwrite").option("header", True).csv(f"{folder}/repair_log")
+    write_strings(intake.held_out, f"{folder}/held_out")
+    write_strings(intake.log, f"{folder}/repair_log")
 
 
 def bundle(tables: dict[str, DataFrame], folder: str) -> DataFrame:

@@ -9,7 +9,8 @@ from chirrup.session import shared_folder
 from chirrup.sources import files, payloads
 from chirrup.streaming import sweeps
 from registry.core import on
-from registry.relations_sql import EVENT_LOG, POSTS, RAW, TEXTS, sql
+from registry.intake import WS
+from registry.relations_sql import EVENT_LOG, LABELLED, POSTS, RAW, TEXTS, USERS, sql
 
 WINDOW = {"start": "2024-01-03 00:00:00", "end": "2024-01-28 20:30:00", "split": "2024-01-15 00:00:00"}
 CONTRASTS = [
@@ -153,8 +154,8 @@ def _stream_monitor(s):
     out, mark = scratch(s.spark, "monitor"), scratch(s.spark, "mark")
     stream = sweeps.deduplicated(sweeps.read_landing(s.spark, _landed(s)))
     sweeps.monitor(stream, out, mark, z=1.5).awaitTermination()
-    hours = s.spark.read.parquet(f"{out}/hours").where("hour_local is not null").groupBy("hour_local").agg(F.sum("n").alias("n"))
-    return live.spikes(hours, z=1.5)
+    last = s.spark.read.parquet(f"{out}/sweeps").agg(F.max("batch")).scalar()
+    return s.spark.read.parquet(f"{out}/spikes").where(F.col("sweep") == last).drop("sweep")
 
 
 def _stream_sweeps(s):
@@ -165,8 +166,57 @@ def _stream_sweeps(s):
 
 
 def _outcomes(s):
-    records = files.first_per_record(s.event_log)
-    return live.outcome_table(live.sweep_summary(records, live.fetch_outcomes(s.event_log)))
+    """Every fetch that brought records, and as many that a site refused or that broke off."""
+    records, good = files.first_per_record(s.event_log), live.fetch_outcomes(s.event_log)
+    code = F.when(F.substring("sweep_id", -1, 1).cast("int") % 2 == 0, "429").otherwise("timeout")
+    failed = good.withColumns({"http": code, "records": F.lit(0).cast("long")})
+    return live.outcome_table(live.sweep_summary(records, good.unionByName(failed)))
+
+
+def _labelled_csv(s):
+    """S3: labelled text as CSV with white space around its cells, read back stripped."""
+    folder = scratch(s.spark, "labelled")
+    padded = [F.concat(F.lit("  "), F.col(c).cast("string"), F.lit("\t")).alias(c) for c in files.LABELLED]
+    files.write_strings(s.labelled_text.select(*padded), folder)
+    rows = files.read_labelled(s.spark, folder)
+    return rows.select(F.col("text_id").cast("long").alias("text_id"), "sentiment_label", "topic_category", F.md5("post_text").alias("text_md5"))
+
+
+def _split_parts(s):
+    """S4: a split written by part; only the part asked for is read."""
+    folder = scratch(s.spark, "split")
+    part = F.when(F.col("text_id") % 5 == 0, "test").otherwise("train")
+    files.write_split(s.labelled_text.withColumn("split", part), folder)
+    test = files.read_split(s.spark, folder, "test")
+    return test.select("text_id", "sentiment_label", "topic_category", "split")
+
+
+def _intake_files(s):
+    """S8: what the intake leaves, read back from its files: analysis rows by month, and held-out bodies."""
+    from chirrup.operators import intake
+
+    folder = scratch(s.spark, "intake")
+    files.write_intake(intake.repair_posts(s.raw_posts), s.users, folder)
+    spark = s.spark
+    posts = spark.read.parquet(f"{folder}/posts").groupBy(F.col("post_month").cast("string").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    as_json = spark.read.json(f"{folder}/posts_json").agg(F.lit("json").alias("part"), F.count(F.lit(1)).alias("rows"))
+    users = spark.read.parquet(f"{folder}/users").agg(F.lit("users").alias("part"), F.count(F.lit(1)).alias("rows"))
+    held = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/held_out")
+    held = held.agg(F.lit("held out").alias("part"), F.count(F.lit(1)).alias("rows"))
+    return posts.unionByName(as_json).unionByName(users).unionByName(held)
+
+
+def _source_registry(s):
+    """S12: a registry of sources as CSV; a count that is no number is unknown."""
+    folder = scratch(s.spark, "registry")
+    k = F.col("page_id")
+    known = F.when(k % 4 == 0, "many").otherwise(k.cast("string"))
+    columns = {
+        "platform": F.lit("web"), "source_id": k.cast("string"), "source_url": F.col("url"), "source_title_or_caption": F.lit('a "quoted" title,\nin two lines'),
+        "author_or_channel": F.lit(" spaced "), "sport": F.lit("hockey"), "event_name": F.lit("final"), "source_timestamp": F.lit("2026-09-20"), "records_collected": known,
+    }
+    files.write_strings(s.pages.select(*[c.alias(n) for n, c in columns.items()]), folder)
+    return files.read_source_registry(s.spark, folder)
 
 
 def _sweep_log(s):
@@ -222,6 +272,10 @@ QUERIES = {
     "L18_trigger_contrasts": on(lambda s: live.shift_tests(_corpus(s), TRIGGERS).drop("mannwhitney_p")),
     "W1_W3_stream_log": on(_stream_log),
     "W4_stream_hourly_counts": on(_stream_counts),
+    "S3_labelled_csv": on(_labelled_csv),
+    "S4_split_parts": on(_split_parts),
+    "S8_intake_files": on(_intake_files),
+    "S12_source_registry": on(_source_registry),
     "W5_stream_spikes": on(_stream_monitor),
     "W7_stream_sweep_log": on(_stream_sweeps),
 }
@@ -298,7 +352,9 @@ ORACLE = {
     "L5_sweep_log": sql(EVENT_LOG, body="""
       SELECT sweep_id, any_value(r.mode) AS mode, any_value(r.at_) AS at, any_value(r.n) AS new_records, count(DISTINCT source) AS fetches
       FROM event_log LEFT JOIN (SELECT sweep_id, any_value(sweep_mode) AS mode, max(collected_at) AS at_, count(*) AS n FROM corpus GROUP BY 1) r USING (sweep_id) GROUP BY sweep_id"""),
-    "L6_outcomes": sql(EVENT_LOG, body=" SELECT source, count(DISTINCT sweep_id) AS http_200, 0::BIGINT AS http_429, 0::BIGINT AS other FROM event_log GROUP BY 1"),
+    "L6_outcomes": sql(EVENT_LOG, body="""
+      SELECT source, count(DISTINCT sweep_id) AS http_200, count(DISTINCT sweep_id) FILTER (right(sweep_id, 1)::INT % 2 = 0) AS http_429,
+        count(DISTINCT sweep_id) FILTER (right(sweep_id, 1)::INT % 2 = 1) AS other FROM event_log GROUP BY 1"""),
     "L7_corpus": sql(EVENT_LOG, body="""
       SELECT record_id, text_full, ts_ist AS ts_local, hour_ist AS hour_local, date_ist AS date_local, kind, text_full LIKE '%हॉकी%' AS is_hindi,
              CASE WHEN ts_ist IS NOT NULL THEN arc END AS arc FROM corpus"""),
@@ -329,6 +385,11 @@ ORACLE = {
       SELECT record_id, source, created_at, CASE WHEN ts_ist >= TIMESTAMP '2024-01-15' THEN 'live' ELSE 'retro' END AS arc FROM corpus
       WHERE ts_ist >= TIMESTAMP '2024-01-03 00:00:00' AND ts_ist <= TIMESTAMP '2024-01-28 20:30:00'"""),
     "W4_stream_hourly_counts": sql(EVENT_LOG, body=" SELECT date_trunc('hour', created_at) AS hour, kind, count(*) AS n FROM corpus WHERE created_at IS NOT NULL GROUP BY ALL"),
+    "S3_labelled_csv": sql(LABELLED, body=f"""
+      SELECT text_id, sentiment_label, topic_category, md5(regexp_replace(post_text, '^[{WS}]+|[{WS}]+$', '', 'g')) AS text_md5 FROM labelled"""),
+    "S4_split_parts": sql(LABELLED, body=" SELECT text_id, sentiment_label, topic_category, 'test' AS split FROM labelled WHERE text_id % 5 = 0"),
+    "S12_source_registry": """SELECT 'web' AS platform, page_id::VARCHAR AS source_id, url AS source_url, 'a "quoted" title,' || chr(10) || 'in two lines' AS source_title_or_caption,
+      ' spaced ' AS author_or_channel, 'hockey' AS sport, 'final' AS event_name, '2026-09-20' AS source_timestamp, CASE WHEN page_id % 4 <> 0 THEN page_id END AS records_collected FROM pages""",
     "W5_stream_spikes": sql(EVENT_LOG, body=SPIKES),
     "W7_stream_sweep_log": sql(EVENT_LOG, body=" SELECT count(*) AS new_records FROM corpus"),
 }
@@ -342,4 +403,14 @@ def _s10():
              CAST(flag_ambiguous_date_format AS BIGINT) AS date_flagged, CAST(isodow("timestamp") > 5 AS BIGINT) AS is_weekend FROM repaired WHERE text_content IS NOT NULL""")
 
 
+def _s8():
+    from registry.intake import REPAIRED
+
+    return sql(POSTS, RAW, USERS, body=REPAIRED + """
+      SELECT strftime("timestamp", '%Y-%m') AS part, count(*) AS "rows" FROM repaired WHERE text_content IS NOT NULL GROUP BY 1
+      UNION ALL SELECT 'json', count(text_content) FROM repaired UNION ALL SELECT 'users', (SELECT count(*) FROM users)
+      UNION ALL SELECT 'held out', count(*) - count(text_content) FROM repaired""")
+
+
 ORACLE["S10_analysis_posts"] = _s10()
+ORACLE["S8_intake_files"] = _s8()

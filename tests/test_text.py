@@ -152,3 +152,17 @@ def test_residual_sweep_fires_on_a_bad_sample(spark, marker, sample):
 def test_url_key(spark):
     df = spark.createDataFrame([("https://x.co/a?b=é",)], "u string")
     assert df.select(strings.url_key(F.col("u"))).first()[0] == "37e281dc3621503e"
+
+
+def test_held_out_bodies_come_back_from_their_file(spark, tmp_path):
+    """Quotes, line ends and white space survive the deliverables' CSV."""
+    from types import SimpleNamespace
+
+    from chirrup.sources import files
+
+    rows = [("1", 'say "yes",\nor no'), ("2", " \tpadded "), ("3", ""), ("4", "back\\slash \\" )]
+    held = spark.createDataFrame(rows, "post_id string, text_content string")
+    posts = held.withColumn("post_month", F.lit("2024-01"))
+    files.write_intake(SimpleNamespace(analysis=posts, held_out=held, log=held), held, str(tmp_path))
+    back = files.read_strings(spark, f"{tmp_path}/held_out", ("post_id", "text_content"))
+    assert sorted(tuple(r) for r in back.collect()) == rows
