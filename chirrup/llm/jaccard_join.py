@@ -6,14 +6,17 @@ Documents with the same set are one *unit*; all work is on units.
 1. Shingles that very many documents share are found with a sketch of fixed size.
 2. All shingles have one order: rare before frequent, then by hash. Units that link share one of
    the first n - ceil(3n/4) + 1 shingles of either (their *keys*), so units are dealt out by these.
+   Where two units share a key, their sizes and the key's places in both tell whether it can be the
+   first that a linking pair shares; units without such a partner leave.
 3. The shingles of a unit are counted by hash group, which makes the unit a point. Per key an R-tree
    over the points of its units is searched: a node's corner of coordinate maxima, and then a point
    itself, bounds the overlap by the sum of the smaller coordinates. What can reach the needed
    overlap is a candidate.
 4. Candidates are verified on the full sets. Links join components. A pair within a component need
-   not be looked at, so the first round asks for one candidate per unit and key; keys that have more
-   are searched again for pairs between components, the last time without a limit. So groups of
-   thousands of near copies cost a few verifications a copy, and no link between components is lost.
+   not be looked at, so a first round takes few keys and one candidate per unit and key, which joins
+   nearly all near copies at about one verification each. Then all keys are searched for pairs
+   between components; those with more candidates than asked for are searched again, the last time
+   without a limit, so no link between components is lost.
 
 Nulls and other cases: texts without words have the empty set, link with nothing and are components
 of their own; null ids are smaller than none: they never name a component unless all ids in it are
@@ -38,7 +41,8 @@ from chirrup.session import materialise
 WIDTH = 5
 SKETCH = 1 << 20  # buckets
 LEAF = 32
-ROUNDS = (1, 16, None)  # candidates per unit and key; the last round has no limit
+FIRST_KEYS = 4  # of each unit, in the first round
+ROUNDS = (2, None)  # candidates per unit and key in the rounds over all keys; the last has no limit
 LAST = (1 << 63) - 1
 
 
@@ -80,10 +84,22 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # ---- units -------------------------------------------------------------------------------------
 
 
-def group_counts(shingles: np.ndarray) -> np.ndarray:
-    """Shingles counted by their leading bits, in about a third as many groups as shingles (a power of two)."""
-    bits = max(3, round(np.log2(max(len(shingles), 1) / 3)))
-    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+def group_counts(shingles: np.ndarray) -> bytes:
+    """Shingles counted by their leading bits, in about as many groups as shingles (a power of two).
+
+    Counts take two bits; what they hold above three is added up in the four bytes before them.
+    """
+    bits = max(4, round(np.log2(max(len(shingles), 1))))
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    packed = low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6
+    return np.uint32(np.maximum(counts - 3, 0).sum()).tobytes() + packed.astype(np.uint8).tobytes()
+
+
+def point_of(stored: bytes) -> tuple[np.ndarray, int]:
+    """Counts up to three of each group, and what is above."""
+    packed = np.frombuffer(stored, np.uint8, offset=4)
+    return np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=1).ravel(), int(np.frombuffer(stored, np.uint32, 1)[0])
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -107,7 +123,7 @@ def units(docs: DataFrame) -> DataFrame:
                             seen.clear()
                         seen.add(key)
                         order = np.lexsort((s, level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                        sigs, point = s[order[: needed_prefix(len(s))]].view(np.int64), group_counts(s).tobytes()
+                        sigs, point = s[order[: needed_prefix(len(s))]].view(np.int64), group_counts(s)
                     for column, value in zip(out, (len(s), key, sigs if new else None, point if new else None)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), tags.slice(first, end - first), *[pa.array(c, schema.field(i + 2).type) for i, c in enumerate(out)]], schema=schema)
@@ -116,41 +132,55 @@ def units(docs: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(describe, "doc_id long, tag long, n long, unit long, sigs array<long>, point binary"), "jaccard-units")
 
 
-def _shared(batches):
-    """Of rows sorted by (sig, unit): those whose sig occurs with another unit, each pair of both once."""
-    rest_s, rest_u = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _whole_keys(batches):
+    """Tables of whole keys from rows sorted by ``sig``."""
+    rest = None
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        s = table.column("sig").to_numpy()
+        cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _pairs_within(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (later, earlier) of all pairs within each of several short runs of rows."""
+    place = np.concatenate([np.arange(n) for n in lengths]) if len(lengths) else np.zeros(0, np.int64)
+    later = np.repeat(np.repeat(starts, lengths) + place, place)
+    earlier = later - np.repeat(place, place) + (np.concatenate([np.arange(k) for k in place]) if len(place) else place)
+    return later, earlier
+
+
+def _plausible(batches):
+    """Of rows (sig, unit, at, label) sorted by sig and unit: those with a partner that may link with them.
 
-    def pick(s, u):
-        if not len(s):
-            return None
+    ``at`` holds the set's size and the place of the key in it. If the key is the first that a pair
+    shares, what comes before it in either set is in that set alone, which bounds the overlap; a
+    pair that links passes at its first common key. Long runs of rows are only looked at for more
+    than one component.
+    """
+    for table in _whole_keys(batches):
+        s, u, at, label = (table.column(c).to_numpy() for c in ("sig", "unit", "at", "label"))
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1])
-        s, u = s[new], u[new]
-        same = s[1:] == s[:-1]
-        twice = np.zeros(len(s), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(s[twice]), pa.array(u[twice])], ["sig", "unit"])
-
-    def hot(s, u):
-        """A sig that fills whole batches: all but its last row can go, for it is shared."""
-        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(u)], ["sig", "unit"])
-
-    for b in batches:
-        s = np.concatenate([rest_s, b.column("sig").to_numpy()])
-        u = np.concatenate([rest_u, b.column("unit").to_numpy()])
-        cut = int(np.searchsorted(s, s[-1])) if len(s) else 0  # the last sig may go on in the next batch
-        if cut and (out := pick(s[:cut], u[:cut])) is not None:
-            yield out
-        rest_s, rest_u = s[cut:], u[cut:]
-        if len(rest_s) > 200_000:
-            new = np.concatenate([[True], rest_u[1:] != rest_u[:-1]])
-            rest_s, rest_u = rest_s[new], rest_u[new]
-            if len(rest_s) > 3:
-                yield hot(rest_s[:-2], rest_u[:-2])
-                rest_s, rest_u = rest_s[-2:], rest_u[-2:]
-    if (out := pick(rest_s, rest_u)) is not None:
-        yield out
+        s, u, at, label = s[new], u[new], at[new], label[new]
+        size, after = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)  # after: this key and what follows it
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        lengths = np.diff([*starts, len(s)])
+        keep = np.zeros(len(s), bool)
+        small = (lengths > 1) & (lengths <= LEAF)
+        x, y = _pairs_within(starts[small], lengths[small])
+        ok = (label[x] != label[y]) & (7 * np.minimum(after[x], after[y]) >= 3 * (size[x] + size[y]))
+        keep[x[ok]] = keep[y[ok]] = True
+        large = lengths > LEAF
+        if large.any():
+            mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+            keep |= np.repeat(large & mixed, lengths)
+        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(u[keep]), pa.array(at[keep])], ["sig", "unit", "at"])
 
 
 # ---- candidates --------------------------------------------------------------------------------
@@ -158,20 +188,20 @@ def _shared(batches):
 
 def folded(point: np.ndarray, size: int) -> np.ndarray:
     """A point in fewer groups: neighbouring groups together."""
-    return point if len(point) == size else np.minimum(point.reshape(size, -1).sum(axis=1), 255).astype(np.uint8)
+    return point if len(point) == size else np.minimum(point.reshape(size, -1).sum(axis=1), 255).astype(np.uint8)  # of two groups: 6 at most
 
 
 class Tree:
     """An R-tree of two levels over points of one dimension, packed in order of units."""
 
-    def __init__(self, index: np.ndarray, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray):
-        self.index, self.sizes, self.points, self.labels = index, sizes, points, labels
+    def __init__(self, index: np.ndarray, sizes: np.ndarray, points: np.ndarray, above: np.ndarray, labels: np.ndarray):
+        self.index, self.sizes, self.points, self.above, self.labels = index, sizes, points, above, labels
         self.starts = starts = np.arange(0, len(index), LEAF)
-        self.top = np.maximum.reduceat(points, starts, axis=0)
+        self.top, self.top_above = np.maximum.reduceat(points, starts, axis=0), np.maximum.reduceat(above, starts)
         self.low, self.high = np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts)
         self.one = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
 
-    def search(self, point: np.ndarray, n: int, label: int, before: int) -> Iterator[np.ndarray]:
+    def search(self, point: np.ndarray, above: int, n: int, label: int, before: int) -> Iterator[np.ndarray]:
         """Indices, below ``before`` and ascending, of units of other components that may link."""
         near = (4 * self.high >= 3 * n) & (3 * self.low <= 4 * n) & ~((self.one[0] == label) & (self.one[1] == label))
         leaves = np.flatnonzero(near & (self.index[self.starts] < before))
@@ -179,19 +209,19 @@ class Tree:
         while a < len(leaves):
             some = leaves[a : a + width]
             a, width = a + width, min(2 * width, 256)
-            bound = np.minimum(self.top[some], point).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(self.top[some], point).sum(axis=1, dtype=np.int64) + np.minimum(self.top_above[some], above)
             some = some[7 * bound >= 3 * (n + self.low[some])]
             rows = (self.starts[some][:, None] + np.arange(LEAF)).ravel()
             rows = rows[rows < len(self.index)]
             rows = rows[(self.index[rows] < before) & (self.labels[rows] != label) & (4 * self.sizes[rows] >= 3 * n) & (3 * self.sizes[rows] <= 4 * n)]
             if len(rows):
-                bound = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64)
+                bound = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64) + np.minimum(self.above[rows], above)
                 rows = rows[7 * bound >= 3 * (n + self.sizes[rows])]
                 if len(rows):
                     yield self.index[rows]
 
 
-def search_posting(sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarray, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+def search_posting(sizes: np.ndarray, points: list[np.ndarray], above: np.ndarray, labels: np.ndarray, most: int | None) -> tuple[list[tuple[int, int]], bool]:
     """Candidates (later, earlier index) among many units of one key, by an R-tree per dimension.
 
     At most ``most`` for each unit; also tells whether that left any out.
@@ -205,7 +235,7 @@ def search_posting(sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarr
         """Over the units with ``dim`` groups, folded to ``size``."""
         if (dim, size) not in trees:
             own = np.flatnonzero(dims == dim)
-            trees[dim, size] = Tree(own, sizes[own], np.stack([folded(points[i], size) for i in own]), labels[own]) if len(own) else None
+            trees[dim, size] = Tree(own, sizes[own], np.stack([folded(points[i], size) for i in own]), above[own], labels[own]) if len(own) else None
         return trees[dim, size]
 
     pairs, more = [], False
@@ -214,7 +244,7 @@ def search_posting(sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarr
         for dim in (dims[i] // 2, dims[i], dims[i] * 2):
             size = int(min(dim, dims[i]))
             t = tree(int(dim), size)
-            for found in t.search(folded(points[i], size), int(sizes[i]), int(labels[i]), i) if t is not None else ():
+            for found in t.search(folded(points[i], size), int(above[i]), int(sizes[i]), int(labels[i]), i) if t is not None else ():
                 pairs += [(i, int(j)) for j in found[:left]]
                 more |= len(found) > left
                 left -= min(left, len(found))
@@ -226,12 +256,11 @@ def search_posting(sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarr
     return pairs, more
 
 
-def search_small(starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], labels: np.ndarray, most: int | None):
+def search_small(
+    starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], above: np.ndarray, labels: np.ndarray, most: int | None
+):
     """The same for many keys with up to a leaf of units each, all at once: (later, earlier, key left out)."""
-    place = np.concatenate([np.arange(n) for n in lengths]) if len(lengths) else np.zeros(0, np.int64)
-    rows = np.repeat(starts, lengths) + place
-    later = np.repeat(rows, place)
-    earlier = later - np.repeat(place, place) + np.concatenate([np.arange(k) for k in place]) if len(later) else later
+    later, earlier = _pairs_within(starts, lengths)
     ok = (labels[later] != labels[earlier]) & (4 * sizes[earlier] >= 3 * sizes[later]) & (3 * sizes[earlier] <= 4 * sizes[later])
     later, earlier = later[ok], earlier[ok]
     dims = np.array([len(x) for x in points], dtype=np.int64)
@@ -244,8 +273,9 @@ def search_small(starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, poi
         step = max(1, (1 << 24) // int(dim))
         for a in range(0, len(mine), step):
             part = slice(a, a + step)
-            bound = np.minimum(matrix[x[part]], matrix[y[part]]).sum(axis=1, dtype=np.int64)
-            good[mine[part]] = 7 * bound >= 3 * (sizes[later[mine[part]]] + sizes[earlier[mine[part]]])
+            i, j = later[mine[part]], earlier[mine[part]]
+            bound = np.minimum(matrix[x[part]], matrix[y[part]]).sum(axis=1, dtype=np.int64) + np.minimum(above[i], above[j])
+            good[mine[part]] = 7 * bound >= 3 * (sizes[i] + sizes[j])
     later, earlier = later[good], earlier[good]
     if most is None or not len(later):
         return later, earlier, np.zeros(0, np.int64)
@@ -259,34 +289,26 @@ def _candidates(most: int | None):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("again", pa.int64())])
 
     def run(batches):
-        rest = None
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            s = table.column("sig").to_numpy()
-            cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
-            if cut:
-                yield from emit(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from emit(rest)
+        for table in _whole_keys(batches):
+            yield emit(table)
 
     def emit(table):
         s, u = table.column("sig").to_numpy(), table.column("unit").to_numpy()
         n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
-        points = [np.frombuffer(x, np.uint8) for x in table.column("point").to_pylist()]
+        points, above = zip(*[point_of(x) for x in table.column("point").to_pylist()])
+        above = np.array(above, np.int64)
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         lengths = np.diff([*starts, len(s)])
         small = lengths <= LEAF
-        x, y, out = search_small(starts[small], lengths[small], n, points, label, most)
+        x, y, out = search_small(starts[small], lengths[small], n, points, above, label, most)
         again = set(s[out].tolist())
         pairs = set(zip(u[y].tolist(), u[x].tolist()))
         for a, m in zip(starts[~small], lengths[~small]):
-            found, more = search_posting(n[a : a + m], points[a : a + m], label[a : a + m], most)
+            found, more = search_posting(n[a : a + m], points[a : a + m], above[a : a + m], label[a : a + m], most)
             pairs.update((int(u[a + j]), int(u[a + i])) for i, j in found)
             if more:
                 again.add(int(s[a]))
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array([p[0] for p in pairs] + [None] * len(again), pa.int64()),
                 pa.array([p[1] for p in pairs] + [None] * len(again), pa.int64()),
@@ -337,32 +359,50 @@ def verify(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the label of each unit's component, its own number where it has no links yet."""
+    if labels is None:
+        return rows.withColumn("label", F.col("unit"))
+    return rows.join(sized_side(labels, 24), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("sig").sortWithinPartitions("sig", "unit")
+
+
 def unit_components(docs: DataFrame, described: DataFrame) -> DataFrame | None:
     """(unit, label) of units that link with others; None if there are none."""
-    keys = described.where(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "unit")
-    shared = materialise(keys.repartition("sig").sortWithinPartitions("sig", "unit").mapInArrow(_shared, "sig long, unit long"), "jaccard-shared")
-    described = described.where("n > 0").groupBy("unit")
+    new = described.where(F.col("sigs").isNotNull())
     at = F.min(F.coalesce("doc_id", F.lit(LAST))).alias("at")
-    distinct = materialise(described.agg(F.first("n").alias("n"), F.first("point", ignorenulls=True).alias("point"), at), "jaccard-distinct")
-    checked, labels = None, None
-    for most in ROUNDS:
-        rows = shared.join(distinct.select("unit", "n", "point"), "unit")
-        if labels is None:
-            rows = rows.withColumn("label", F.col("unit"))
-        else:
-            rows = rows.join(labels, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-        rows = rows.select("sig", "unit", "n", "point", "label").repartition("sig").sortWithinPartitions("sig", "unit")
-        found = materialise(rows.mapInArrow(_candidates(most), "a long, b long, again long").distinct(), "jaccard-found")
+    distinct = described.where("n > 0").groupBy("unit").agg(F.first("n").alias("n"), F.first("point", ignorenulls=True).alias("point"), at)
+    distinct = materialise(distinct, "jaccard-distinct")
+    place = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
+    rows_of = lambda keys: new.select("unit", "n", F.posexplode(keys).alias("pos", "sig")).select("sig", "unit", place)
+    checked = labels = None
+
+    def search(shared: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        """One round: links of new candidates join ``checked`` and ``labels``; gives what to search again."""
+        nonlocal checked, labels
+        plausible = materialise(_by_key(_labelled(shared, labels)).mapInArrow(_plausible, "sig long, unit long, at long"), "jaccard-shared")
+        rows = _labelled(plausible.drop("at").join(distinct.select("unit", "n", "point"), "unit"), labels)
+        found = _by_key(rows.select("sig", "unit", "n", "point", "label")).mapInArrow(_candidates(most), "a long, b long, again long")
+        found = materialise(found.distinct(), "jaccard-found")
         pairs = found.where("a IS NOT NULL").select("a", "b")
-        pairs = materialise(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if pairs.limit(1).count():
+        pairs = pairs if checked is None else materialise(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not pairs.isEmpty():
             verified = materialise(verify(pairs, docs, distinct), "jaccard-links")
             checked = verified if checked is None else checked.unionByName(verified)
-            labels = materialise(components(checked.where("linked")).select(F.col("vertex").alias("unit"), F.col("component").alias("label")), "jaccard-labels")
-        again = found.where("again IS NOT NULL").select(F.col("again").alias("sig")).distinct()
-        if not again.limit(1).count():
+            labels = components(checked.where("linked")).select(F.col("vertex").alias("unit"), F.col("component").alias("label"))
+            labels = materialise(labels, "jaccard-labels")
+        return plausible, found.where("again IS NOT NULL").select(F.col("again").alias("sig"))
+
+    search(rows_of(F.slice("sigs", 1, FIRST_KEYS)), 1)
+    shared = rows_of(F.col("sigs"))
+    for most in ROUNDS:
+        plausible, again = search(shared, most)
+        if again.isEmpty():
             break
-        shared = materialise(shared.join(again, "sig", "left_semi"), "jaccard-again")
+        shared = plausible.join(again, "sig", "left_semi")
     return labels
 
 
