@@ -94,12 +94,15 @@ def test_search_leaves_nothing_out():
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     sets = [np.unique(np.where(rng.random(300) < rng.choice([0.02, 0.1, 0.4]), rng.integers(0, 1 << 63, 300, dtype=np.uint64), base)[: rng.integers(200, 300)]) for _ in range(90)]
     sizes, labels = np.array([len(s) for s in sets]), np.arange(90)
-    points = [jj.group_counts(s) for s in sets]
+    points, above = zip(*[jj.point_of(jj.group_counts(s)) for s in sets])
+    above = np.array(above)
+    for s, p, a in zip(sets, points, above):
+        assert p.sum() + a == len(s)
     want = {(i, j) for i in range(90) for j in range(i) if jj.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])}
-    tree, more = jj.search_posting(sizes, points, labels, None)
-    small = jj.search_small(np.array([0]), np.array([90]), sizes, points, labels, None)
+    tree, more = jj.search_posting(sizes, points, above, labels, None)
+    small = jj.search_small(np.array([0]), np.array([90]), sizes, points, above, labels, None)
     assert want and want <= set(tree) and set(tree) == set(zip(small[0].tolist(), small[1].tolist())) and not more
-    few, more = jj.search_posting(sizes, points, labels, 1)
+    few, more = jj.search_posting(sizes, points, above, labels, 1)
     assert more and len(few) == len({i for i, _ in tree})
 
 
