@@ -63,17 +63,19 @@ CONTRACTIONS = (
 )
 NEGATIONS = ("not", "no", "never", "none", "nobody", "nothing", "nowhere", "neither", "cannot")
 NEGATION_WINDOW = 3
-STOPWORDS = tuple(
-    """
-    a about above after again against all am an and any are as at be because been before
-    being below between both but by can did do does doing down during each few for from
-    further had has have having he her here hers herself him himself his how i if in into
-    is it its itself just like me more most my myself of off on once only or other ought our
-    ours ourselves out over own same she should so some such than that the their theirs them
-    themselves then there these they this those through to too under until up very was we
-    were what when where which while who whom why will with you your yours yourself
-    yourselves one also get got would could may might must shall us
-    """.split()
+# fixed values: words that carry no content
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do",
+    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having",
+    "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it",
+    "its", "itself", "just", "like", "me", "more", "most", "my", "myself", "of", "off", "on", "once", "only",
+    "or", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "so",
+    "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these",
+    "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were",
+    "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your", "yours",
+    "yourself", "yourselves", "one", "also", "get", "got", "would", "could", "may", "might", "must", "shall",
+    "us",
 )
 
 # --- labelled text ------------------------------------------------------------------------
