@@ -268,8 +268,9 @@ def kept(docs: DataFrame) -> DataFrame:
     same = (digest() == F.col("_dd")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("_di"))
     others = chosen.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*row)
     again = chosen.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(*row).distinct()
-    others, again = sized_side(materialise(others, "dedup-others"), 64), sized_side(materialise(again, "dedup-again"), 64)
-    once = docs.join(others.unionByName(again), same, "left_anti")
+    gone = sized_side(materialise(others.unionByName(again), "dedup-gone"), 64)
+    once = docs.join(gone, same, "left_anti")
     nth = F.row_number().over(Window.partitionBy(digest(), "doc_id").orderBy(F.lit(1)))
+    again = sized_side(materialise(again, "dedup-again"), 64)
     repeated = docs.join(again, same, "left_semi").withColumn("_n", nth).where("_n = 1").select(*docs.columns)
     return once.unionByName(repeated)
