@@ -93,8 +93,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return range_hash(sums, starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
-    """Per text its distinct shingles, hashed and sorted; a shorter text is one shingle, an empty one has none."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5, weights: np.ndarray | None = None) -> list:
+    """Per text its distinct shingles, hashed and sorted; a shorter text is one shingle, an empty one has none.
+
+    With ``weights`` (by the leading bits of a word's hash) a pair: the shingles, and the sum of the
+    weights of each one's words.
+    """
     words, owner = word_hashes(data, offsets)
     n = len(words)
     counts = np.bincount(owner, minlength=len(offsets) - 1) if n else np.zeros(len(offsets) - 1, np.int64)
@@ -103,13 +107,29 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     for k in range(width if len(wide) else 0):
         wide += words[k : n - width + 1 + k] * _PLACE[k]
     wide = mixed(wide)
+    heavy = None
+    if weights is not None:
+        own = weights[word_buckets(words, len(weights))]
+        heavy = sum(own[k : n - width + 1 + k] for k in range(width)) if len(wide) else np.zeros(0, weights.dtype)
     out = []
     for i, c in enumerate(counts):
         a = begins[i]
         if c >= width:
-            out.append(np.unique(wide[a : a + c - width + 1]))
+            s = wide[a : a + c - width + 1]
         elif c:
-            out.append(mixed(np.array([(words[a : a + c] * _PLACE[8 : 8 + c]).sum(dtype=U64) + U64(c)])))
+            s = mixed(np.array([(words[a : a + c] * _PLACE[8 : 8 + c]).sum(dtype=U64) + U64(c)]))
+        else:
+            s = np.zeros(0, U64)
+        if weights is None:
+            out.append(np.unique(s))
+        elif c >= width:
+            s, first = np.unique(s, return_index=True)
+            out.append((s, heavy[a + first]))
         else:
-            out.append(np.zeros(0, U64))
+            out.append((s, np.zeros(len(s), weights.dtype)))
     return out
+
+
+def word_buckets(words: np.ndarray, n: int) -> np.ndarray:
+    """The leading bits of words' hashes; ``n`` is a power of two."""
+    return (words >> U64(64 - (n - 1).bit_length())).astype(np.int64)

@@ -3,8 +3,9 @@
 Two documents link when 4 |A & B| >= 3 |A | B| over their sets of distinct five-word shingles.
 Documents with the same set are one *unit*; all work is on units.
 
-1. Shingles that very many documents share are found with a sketch of fixed size.
-2. All shingles have one order: rare before frequent, then by hash. Units that link share one of
+1. Frequent words, and shingles that very many documents share, are counted in sketches of fixed size.
+2. All shingles have one order: widely shared ones last, before that those of rarer words first,
+   then by hash. Any one order would do; in this one few units share a key by chance. Units that link share one of
    the first n - ceil(3n/4) + 1 shingles of either (their *keys*), so units are dealt out by these.
    Where two units share a key, their sizes and the key's places in both tell whether it can be the
    first that a linking pair shares; units without such a partner leave.
@@ -39,7 +40,8 @@ from chirrup.llm.components import components
 from chirrup.session import materialise
 
 WIDTH = 5
-SKETCH = 1 << 20  # buckets
+SKETCH = 1 << 20  # buckets of shingles
+WORD_SKETCH = 1 << 16  # buckets of words
 LEAF = 32
 FIRST_KEYS = 4  # of each unit, in the first round
 ROUNDS = (2, None)  # candidates per unit and key in the rounds over all keys; the last has no limit
@@ -63,22 +65,32 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def _sketch(batches):
-    """Counts of a task's shingles by bucket; only buckets well above the task's mean are passed on."""
-    counts = np.zeros(SKETCH, np.int64)
+    """A task's counts of shingles and, behind them, of words by bucket.
+
+    Of shingles only buckets well above the task's mean are passed on.
+    """
+    counts, words = np.zeros(SKETCH, np.int64), np.zeros(WORD_SKETCH, np.int64)
     for b in batches:
         for _, _, data, offsets in bytewise.slices(b.column(0)):
-            sets = bytewise.shingle_sets(data, offsets, WIDTH)
-            if sets:
-                np.add.at(counts, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-    heavy = np.flatnonzero(counts >= 16 + 2 * counts.mean())
-    yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(counts[heavy])], ["bucket", "n"])
+            for s in bytewise.shingle_sets(data, offsets, WIDTH):
+                np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            words += np.bincount(bytewise.word_buckets(bytewise.word_hashes(data, offsets)[0], WORD_SKETCH), minlength=WORD_SKETCH)
+    heavy, common = np.flatnonzero(counts >= 16 + 2 * counts.mean()), np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([heavy, SKETCH + common])), pa.array(np.concatenate([counts[heavy], words[common]]))], ["bucket", "n"])
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with frequent shingles and the level (log2 of the count) of each: at most SKETCH numbers."""
-    rows = docs.select(text_of().alias("text")).mapInArrow(_sketch, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 64").toPandas()
-    rows = rows.sort_values("bucket")
-    return rows["bucket"].to_numpy(np.int64), np.log2(rows["n"].to_numpy(np.float64)).astype(np.int8)
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of widely shared shingles, their level (log2 of the count), and a weight per bucket of words.
+
+    The driver receives SKETCH + WORD_SKETCH numbers at most.
+    """
+    rows = docs.select(text_of().alias("text")).mapInArrow(_sketch, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = rows.where((F.col("bucket") >= SKETCH) | (F.col("n") >= 64)).toPandas().sort_values("bucket")
+    bucket, level = rows["bucket"].to_numpy(np.int64), np.log2(rows["n"].to_numpy(np.float64) + 1)
+    word = bucket >= SKETCH
+    weights = np.zeros(WORD_SKETCH, np.float32)
+    weights[bucket[word] - SKETCH] = level[word]
+    return bucket[~word], level[~word].astype(np.int8), weights
 
 
 # ---- units -------------------------------------------------------------------------------------
@@ -104,7 +116,7 @@ def point_of(stored: bytes) -> tuple[np.ndarray, int]:
 
 def units(docs: DataFrame) -> DataFrame:
     """Per row doc_id, tag (of the text), n (shingles), unit; where the set is new to the task also its keys and point."""
-    buckets, levels = frequent(docs)
+    buckets, levels, weights = frequent(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("unit", pa.int64()), ("sigs", pa.list_(pa.int64())), ("point", pa.binary())])
 
     def describe(batches):
@@ -115,14 +127,14 @@ def units(docs: DataFrame) -> DataFrame:
             ids, tags = b.column("doc_id"), b.column("tag")
             for first, end, data, offsets in bytewise.slices(b.column("text")):
                 out = ([], [], [], [])
-                for s in bytewise.shingle_sets(data, offsets, WIDTH):
+                for s, words in bytewise.shingle_sets(data, offsets, WIDTH, weights):
                     key = set_key(s)
                     new = len(s) > 0 and key not in seen
                     if new:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(key)
-                        order = np.lexsort((s, level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                        order = np.lexsort((s, words, level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
                         sigs, point = s[order[: needed_prefix(len(s))]].view(np.int64), group_counts(s)
                     for column, value in zip(out, (len(s), key, sigs if new else None, point if new else None)):
                         column.append(value)
@@ -194,14 +206,14 @@ def folded(point: np.ndarray, size: int) -> np.ndarray:
 class Tree:
     """An R-tree of two levels over points of one dimension, packed in order of units."""
 
-    def __init__(self, index: np.ndarray, sizes: np.ndarray, points: np.ndarray, above: np.ndarray, labels: np.ndarray):
-        self.index, self.sizes, self.points, self.above, self.labels = index, sizes, points, above, labels
+    def __init__(self, index: np.ndarray, sizes: np.ndarray, after: np.ndarray, points: np.ndarray, above: np.ndarray, labels: np.ndarray):
+        self.index, self.sizes, self.after, self.points, self.above, self.labels = index, sizes, after, points, above, labels
         self.starts = starts = np.arange(0, len(index), LEAF)
         self.top, self.top_above = np.maximum.reduceat(points, starts, axis=0), np.maximum.reduceat(above, starts)
         self.low, self.high = np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts)
         self.one = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
 
-    def search(self, point: np.ndarray, above: int, n: int, label: int, before: int) -> Iterator[np.ndarray]:
+    def search(self, point: np.ndarray, above: int, n: int, after: int, label: int, before: int) -> Iterator[np.ndarray]:
         """Indices, below ``before`` and ascending, of units of other components that may link."""
         near = (4 * self.high >= 3 * n) & (3 * self.low <= 4 * n) & ~((self.one[0] == label) & (self.one[1] == label))
         leaves = np.flatnonzero(near & (self.index[self.starts] < before))
@@ -213,7 +225,7 @@ class Tree:
             some = some[7 * bound >= 3 * (n + self.low[some])]
             rows = (self.starts[some][:, None] + np.arange(LEAF)).ravel()
             rows = rows[rows < len(self.index)]
-            rows = rows[(self.index[rows] < before) & (self.labels[rows] != label) & (4 * self.sizes[rows] >= 3 * n) & (3 * self.sizes[rows] <= 4 * n)]
+            rows = rows[(self.index[rows] < before) & (self.labels[rows] != label) & (7 * np.minimum(self.after[rows], after) >= 3 * (n + self.sizes[rows]))]
             if len(rows):
                 bound = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64) + np.minimum(self.above[rows], above)
                 rows = rows[7 * bound >= 3 * (n + self.sizes[rows])]
@@ -221,7 +233,7 @@ class Tree:
                     yield self.index[rows]
 
 
-def search_posting(sizes: np.ndarray, points: list[np.ndarray], above: np.ndarray, labels: np.ndarray, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+def search_posting(sizes: np.ndarray, after: np.ndarray, points: list[np.ndarray], above: np.ndarray, labels: np.ndarray, most: int | None) -> tuple[list[tuple[int, int]], bool]:
     """Candidates (later, earlier index) among many units of one key, by an R-tree per dimension.
 
     At most ``most`` for each unit; also tells whether that left any out.
@@ -235,7 +247,7 @@ def search_posting(sizes: np.ndarray, points: list[np.ndarray], above: np.ndarra
         """Over the units with ``dim`` groups, folded to ``size``."""
         if (dim, size) not in trees:
             own = np.flatnonzero(dims == dim)
-            trees[dim, size] = Tree(own, sizes[own], np.stack([folded(points[i], size) for i in own]), above[own], labels[own]) if len(own) else None
+            trees[dim, size] = Tree(own, sizes[own], after[own], np.stack([folded(points[i], size) for i in own]), above[own], labels[own]) if len(own) else None
         return trees[dim, size]
 
     pairs, more = [], False
@@ -244,7 +256,7 @@ def search_posting(sizes: np.ndarray, points: list[np.ndarray], above: np.ndarra
         for dim in (dims[i] // 2, dims[i], dims[i] * 2):
             size = int(min(dim, dims[i]))
             t = tree(int(dim), size)
-            for found in t.search(folded(points[i], size), int(above[i]), int(sizes[i]), int(labels[i]), i) if t is not None else ():
+            for found in t.search(folded(points[i], size), int(above[i]), int(sizes[i]), int(after[i]), int(labels[i]), i) if t is not None else ():
                 pairs += [(i, int(j)) for j in found[:left]]
                 more |= len(found) > left
                 left -= min(left, len(found))
@@ -257,11 +269,11 @@ def search_posting(sizes: np.ndarray, points: list[np.ndarray], above: np.ndarra
 
 
 def search_small(
-    starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], above: np.ndarray, labels: np.ndarray, most: int | None
+    starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, after: np.ndarray, points: list[np.ndarray], above: np.ndarray, labels: np.ndarray, most: int | None
 ):
     """The same for many keys with up to a leaf of units each, all at once: (later, earlier, key left out)."""
     later, earlier = _pairs_within(starts, lengths)
-    ok = (labels[later] != labels[earlier]) & (4 * sizes[earlier] >= 3 * sizes[later]) & (3 * sizes[earlier] <= 4 * sizes[later])
+    ok = (labels[later] != labels[earlier]) & (7 * np.minimum(after[later], after[earlier]) >= 3 * (sizes[later] + sizes[earlier]))
     later, earlier = later[ok], earlier[ok]
     dims = np.array([len(x) for x in points], dtype=np.int64)
     good = np.zeros(len(later), bool)
@@ -294,17 +306,18 @@ def _candidates(most: int | None):
 
     def emit(table):
         s, u = table.column("sig").to_numpy(), table.column("unit").to_numpy()
-        n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+        at, label = table.column("at").to_numpy(), table.column("label").to_numpy()
+        n, after = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
         points, above = zip(*[point_of(x) for x in table.column("point").to_pylist()])
         above = np.array(above, np.int64)
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         lengths = np.diff([*starts, len(s)])
         small = lengths <= LEAF
-        x, y, out = search_small(starts[small], lengths[small], n, points, above, label, most)
+        x, y, out = search_small(starts[small], lengths[small], n, after, points, above, label, most)
         again = set(s[out].tolist())
         pairs = set(zip(u[y].tolist(), u[x].tolist()))
         for a, m in zip(starts[~small], lengths[~small]):
-            found, more = search_posting(n[a : a + m], points[a : a + m], above[a : a + m], label[a : a + m], most)
+            found, more = search_posting(n[a : a + m], after[a : a + m], points[a : a + m], above[a : a + m], label[a : a + m], most)
             pairs.update((int(u[a + j]), int(u[a + i])) for i, j in found)
             if more:
                 again.add(int(s[a]))
@@ -384,8 +397,8 @@ def unit_components(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         """One round: links of new candidates join ``checked`` and ``labels``; gives what to search again."""
         nonlocal checked, labels
         plausible = materialise(_by_key(_labelled(shared, labels)).mapInArrow(_plausible, "sig long, unit long, at long"), "jaccard-shared")
-        rows = _labelled(plausible.drop("at").join(distinct.select("unit", "n", "point"), "unit"), labels)
-        found = _by_key(rows.select("sig", "unit", "n", "point", "label")).mapInArrow(_candidates(most), "a long, b long, again long")
+        rows = _labelled(plausible.join(distinct.select("unit", "point"), "unit"), labels)
+        found = _by_key(rows.select("sig", "unit", "at", "point", "label")).mapInArrow(_candidates(most), "a long, b long, again long")
         found = materialise(found.distinct(), "jaccard-found")
         pairs = found.where("a IS NOT NULL").select("a", "b")
         pairs = pairs if checked is None else materialise(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
