@@ -99,10 +99,10 @@ def test_search_leaves_nothing_out():
     for s, p, a in zip(sets, points, above):
         assert p.sum() + a == len(s)
     want = {(i, j) for i in range(90) for j in range(i) if jj.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])}
-    tree, more = jj.search_posting(sizes, points, above, labels, None)
-    small = jj.search_small(np.array([0]), np.array([90]), sizes, points, above, labels, None)
+    tree, more = jj.search_posting(sizes, sizes, points, above, labels, None)
+    small = jj.search_small(np.array([0]), np.array([90]), sizes, sizes, points, above, labels, None)
     assert want and want <= set(tree) and set(tree) == set(zip(small[0].tolist(), small[1].tolist())) and not more
-    few, more = jj.search_posting(sizes, points, above, labels, 1)
+    few, more = jj.search_posting(sizes, sizes, points, above, labels, 1)
     assert more and len(few) == len({i for i, _ in tree})
 
 
