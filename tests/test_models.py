@@ -133,3 +133,20 @@ def test_topics(spark):
 def test_learning_curve(docs):
     curve = mo.learning_curve(docs, "post_text", "sentiment_label", SENTIMENTS, SPECS[1], SPECS[1].grid[0], fractions=(0.3, 1.0), folds=2).collect()
     assert curve[0].train_size < curve[1].train_size and curve[1].valid_mean > 0.5
+
+
+def test_registered_bake_off_searches_the_whole_ladder(monkeypatch):
+    from types import SimpleNamespace
+
+    from registry import models
+
+    seen = {}
+
+    def stub(*args, specs=None, folds=mo.FOLDS, **more):
+        seen.update(specs=specs, folds=folds)
+        return SimpleNamespace(table=SimpleNamespace(drop=lambda *names: None))
+
+    monkeypatch.setattr(mo, "bake_off", stub)
+    models._bake_off(SimpleNamespace(labelled_text=None))
+    assert seen["specs"] == mo.ladder() and seen["folds"] == 5
+    assert [(s.kind, len(s.grid), s.iterations) for s in seen["specs"][2:]] == [("logreg", 8, 2000), ("svc", 8, 5000), ("logreg", 8, 3000), ("svc", 8, 5000)]
