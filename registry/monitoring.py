@@ -4,11 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from chirrup.plans import live
+from chirrup.plans import eda, live
 from chirrup.session import shared_folder
 from chirrup.sources import files, payloads
 from chirrup.streaming import sweeps
 from registry.core import on
+from registry.eda import LEXICON
+from registry.eda import ORACLE as EDA_SQL
 from registry.intake import WS
 from registry.relations_sql import EVENT_LOG, LABELLED, POSTS, RAW, TEXTS, USERS, sql
 
@@ -18,6 +20,7 @@ CONTRASTS = [
     live.Contrast("day 10", "2024-01-08 00:00:00", "2024-01-10 10:30:00", "2024-01-10 10:30:00", "2024-01-20 00:00:00"),
     live.Contrast("nobody", "2023-01-08 00:00:00", "2023-01-10 10:30:00", "2024-01-10 10:30:00", "2024-01-20 00:00:00"),
 ]
+SWEEP_DAYS = ("20240111", "20240121")
 TRIGGERS = live.around_triggers([("t1", "2024-01-07 12:00:00"), ("t2", "2024-01-21 06:00:00")], before="36h", after="48h")
 ENTITIES = {"clicks": "click", "views or purchases": "view|purchase", "Hockey": "hockey|हॉकी", "value of one": r"value 1\b", "never": "zzz+"}
 
@@ -51,10 +54,25 @@ def _split_tables(s):
     return files.bundle({"posts": s.posts, "users": s.users, "tags": s.post_tags}, folder)
 
 
-def _features_written(s):
+def _feature_tables(s):
+    """Folder with both feature tables written out."""
     folder = scratch(s.spark, "features")
-    files.write_features(s.text_posts.select("post_id", "likes", "post_month"), s.users, folder)
-    return s.spark.read.parquet(f"{folder}/posts_with_features").groupBy("post_month").agg(F.count(F.lit(1)).alias("posts"), F.sum("likes").alias("likes"))
+    files.write_features(eda.post_features(s.text_posts, LEXICON), eda.user_features(s.posts, s.users), folder)
+    return folder
+
+
+def _features_written(s):
+    posts = s.spark.read.parquet(f"{_feature_tables(s)}/posts_with_features")
+    return posts.groupBy("post_month").agg(F.count(F.lit(1)).alias("posts"), F.sum("likes").alias("likes"))
+
+
+def _written_posts(s):
+    posts = s.spark.read.parquet(f"{_feature_tables(s)}/posts_with_features")
+    return posts.select("post_id", "engagement", "hashtags", "sentiment", "sentiment_label")
+
+
+def _written_users(s):
+    return s.spark.read.parquet(f"{_feature_tables(s)}/user_features")
 
 
 def _raw_csv(s):
@@ -165,6 +183,16 @@ def _stream_sweeps(s):
     return s.spark.read.parquet(f"{out}/sweeps").agg(F.sum("new_records").alias("new_records"))
 
 
+def _sweep_rows(s):
+    """Three sweeps land one after another, by days of collection; a row of new records for each."""
+    landing, out, mark = (scratch(s.spark, n) for n in ("landing", "monitor", "mark"))
+    log, edges = _log(s), ("", *SWEEP_DAYS, "z")
+    for low, high in zip(edges, edges[1:]):
+        files.append_events(log.where((F.col("sweep_id") >= low) & (F.col("sweep_id") < high)), landing)
+        sweeps.monitor(sweeps.deduplicated(sweeps.read_landing(s.spark, landing)), out, mark).awaitTermination()
+    return s.spark.read.parquet(f"{out}/sweeps").select("batch", "new_records")
+
+
 def _outcomes(s):
     """Every fetch that brought records, and as many that a site refused or that broke off."""
     records, good = files.first_per_record(s.event_log), live.fetch_outcomes(s.event_log)
@@ -249,6 +277,8 @@ QUERIES = {
     "S17_embeds": on(_embeds),
     "S18_url_keys": on(lambda s: s.pages.select("page_id", payloads.url_key(F.col("url")).alias("key"))),
     "A20_written_features": on(_features_written),
+    "A20_written_post_features": on(_written_posts),
+    "A20_written_user_features": on(_written_users),
     "L1_new_records": on(_new),
     "L2_L3_window_and_arc": on(lambda s: live.tagged(files.first_per_record(s.event_log), **WINDOW).select("record_id", "arc")),
     "L4_scope": on(lambda s: live.with_scope(s.event_log, "global").groupBy("source", "scope").agg(F.count(F.lit(1)).alias("records"))),
@@ -269,6 +299,8 @@ QUERIES = {
     "L14_entity_days": on(lambda s: live.entity_days(_corpus(s), ENTITIES)),
     "L15_daily_arcs": on(lambda s: live.daily_arcs(_corpus(s))),
     "L17_equal_slices": on(_equal),
+    "L13_shift_p_values": on(lambda s: live.shift_tests(_corpus(s).where("kind = 'social'"), CONTRASTS).select("contrast", "mannwhitney_p")),
+    "L18_trigger_p_values": on(lambda s: live.shift_tests(_corpus(s), TRIGGERS).select("contrast", "mannwhitney_p")),
     "L18_trigger_contrasts": on(lambda s: live.shift_tests(_corpus(s), TRIGGERS).drop("mannwhitney_p")),
     "W1_W3_stream_log": on(_stream_log),
     "W4_stream_hourly_counts": on(_stream_counts),
@@ -278,6 +310,7 @@ QUERIES = {
     "S12_source_registry": on(_source_registry),
     "W5_stream_spikes": on(_stream_monitor),
     "W7_stream_sweep_log": on(_stream_sweeps),
+    "W7_sweep_rows": on(_sweep_rows),
 }
 
 
@@ -307,6 +340,19 @@ def _shift(rows, contrasts):
       FROM r GROUP BY contrast HAVING count(*) FILTER (pre) >= 5 AND count(*) FILTER (NOT pre) >= 5"""
 
 
+def _shift_p(rows, contrasts):
+    """Two-sided normal form with tie and continuity terms; the integral of the density by Simpson's rule."""
+    ranked = _shift(rows, contrasts)
+    return ranked[: ranked.index("SELECT contrast, count(*)")].rstrip() + """,
+      g AS (SELECT *, count(*) OVER (PARTITION BY contrast, v) AS t FROM r),
+      m AS (SELECT contrast, count(*) FILTER (pre)::DOUBLE AS a, count(*) FILTER (NOT pre)::DOUBLE AS b, sum(t * t - 1.0::DOUBLE) AS ties,
+                   sum(rk) FILTER (pre) - count(*) FILTER (pre) * (count(*) FILTER (pre) + 1) / 2.0::DOUBLE AS u FROM g GROUP BY contrast),
+      n AS (SELECT *, sqrt(a * b / 12 * ((a + b + 1) - ties / ((a + b) * (a + b - 1)))) AS spread FROM m WHERE a >= 5 AND b >= 5),
+      z AS (SELECT contrast, CASE WHEN spread = 0 THEN 0.0::DOUBLE ELSE least(greatest((greatest(u, a * b - u) - a * b / 2 - 0.5) / spread, 0), 10) END AS z FROM n)
+      SELECT contrast, round(abs(1 - 2 * z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 2000) * (z * i / 2000) / 2)))), 4) AS mannwhitney_p
+      FROM z"""
+
+
 HITS = ", hits AS (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(text, '')) AS low FROM corpus), m AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS entity, date_ist FROM hits WHERE regexp_matches(low, '{p}')" for n, p in ENTITIES.items()
 ) + ")"
@@ -342,6 +388,8 @@ ORACLE = {
     "S17_embeds": """SELECT 'xsynd:' || event_id AS record_id, 'xsynd' AS source, 'a' || user_id AS author, CAST(NULL AS VARCHAR) AS title, 'one two & ' || event_type AS text,
       'https://x.com/acct/status/' || event_id AS url, date_trunc('second', ts) AS created_at FROM events, range(2)""",
     "S18_url_keys": f"SELECT page_id, {KEY.format('url')} AS key FROM pages",
+    "A20_written_post_features": EDA_SQL["A20_post_features"],
+    "A20_written_user_features": EDA_SQL["A12_user_features"],
     "A20_written_features": sql(TEXTS, body=" SELECT post_month, count(*) AS posts, CAST(sum(likes) AS BIGINT) AS likes FROM texts GROUP BY 1"),
     "L1_new_records": sql(EVENT_LOG, body="""
       SELECT record_id, min(sweep_id) AS sweep_id FROM event_log GROUP BY 1 HAVING min(sweep_id) > '20240115'"""),
@@ -373,6 +421,8 @@ ORACLE = {
       SELECT kind, hour_ist AS hour_local, avg(p_pos) AS mean_positive, avg(p_neg) AS mean_negative FROM corpus WHERE hour_ist IS NOT NULL GROUP BY ALL"""),
     "L12_kind_sentiment": sql(EVENT_LOG, body="""
       SELECT kind, count(*) AS records, round(avg(p_pos), 3) AS mean_positive, round(avg(p_neg), 3) AS mean_negative FROM corpus GROUP BY 1"""),
+    "L13_shift_p_values": sql(EVENT_LOG, body=_shift_p("soc", CONTRASTS)),
+    "L18_trigger_p_values": sql(EVENT_LOG, body=_shift_p("src", TRIGGERS)),
     "L13_shift_tests": sql(EVENT_LOG, body=_shift("soc", CONTRASTS)),
     "L14_entity_counts": sql(EVENT_LOG, body=HITS + f" SELECT e AS entity, count(entity) AS mentions FROM (SELECT unnest({list(ENTITIES)}) AS e) LEFT JOIN m ON entity = e GROUP BY 1"),
     "L14_entity_days": sql(EVENT_LOG, body=HITS + " SELECT entity, date_ist AS date_local, count(*) AS mentions FROM m GROUP BY ALL"),
@@ -391,6 +441,9 @@ ORACLE = {
     "S12_source_registry": """SELECT 'web' AS platform, page_id::VARCHAR AS source_id, url AS source_url, 'a "quoted" title,' || chr(10) || 'in two lines' AS source_title_or_caption,
       ' spaced ' AS author_or_channel, 'hockey' AS sport, 'final' AS event_name, '2026-09-20' AS source_timestamp, CASE WHEN page_id % 4 <> 0 THEN page_id END AS records_collected FROM pages""",
     "W5_stream_spikes": sql(EVENT_LOG, body=SPIKES),
+    "W7_sweep_rows": sql(EVENT_LOG, body=f"""
+      , f AS (SELECT record_id, min(CASE WHEN sweep_id < '{SWEEP_DAYS[0]}' THEN 0 WHEN sweep_id < '{SWEEP_DAYS[1]}' THEN 1 ELSE 2 END) AS batch FROM event_log GROUP BY 1)
+      SELECT batch, count(*) AS new_records FROM f GROUP BY 1"""),
     "W7_stream_sweep_log": sql(EVENT_LOG, body=" SELECT count(*) AS new_records FROM corpus"),
 }
 

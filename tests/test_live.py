@@ -113,3 +113,33 @@ def test_watermarked_dedup_runs(spark, tmp_path):
     sweeps.write_log(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     kept = spark.read.parquet(str(tmp_path / "out"))
     assert kept.count() == kept.select("record_id").distinct().count() > 0
+
+
+def test_written_values_can_differ_from_recomputed_ones(spark, tmp_path):
+    from conftest import SMALL
+    from registry import learning
+    from registry.core import on
+
+    def spoilt(s):
+        spark.createDataFrame([("accuracy", 0.5), ("f1_macro", -1.0)], "metric string, value double").write.parquet(f"file://{tmp_path}/metrics")
+        return f"file://{tmp_path}/metrics"
+
+    assert not any(r["agrees"] for r in on(lambda s: learning._stored(s, spoilt))(spark, SMALL).collect())
+    assert all(r["agrees"] for r in on(learning._stored)(spark, SMALL).collect())
+
+
+def test_both_feature_tables_are_written(spark):
+    from conftest import SMALL
+    from registry import monitoring
+    from registry.core import on
+
+    columns = []
+
+    def look(s):
+        folder = monitoring._feature_tables(s)
+        columns.extend(set(spark.read.parquet(f"{folder}/{t}").columns) for t in ("posts_with_features", "user_features"))
+        return s.posts
+
+    on(look)(spark, SMALL)
+    assert {"post_id", "text_content", "engagement", "hashtags", "sentiment", "sentiment_label"} <= columns[0]
+    assert {"user_id", "posts", "total_eng", "mean_eng", "engagement_rate", "age_days_at_start"} <= columns[1]
