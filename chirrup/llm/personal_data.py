@@ -27,6 +27,7 @@ LABELS = ("none", "email", "ip", "card", "phone", "id")
 BASE = ("email", "ip", "card", "phone")
 CONTEXT = 2
 LONGEST = 512  # words of a sequence; a longer stretch is decoded in parts
+MARGIN = 32  # words at the inner ends of a part whose labels are left to the next one
 
 #: Fixed values, written by hand: one text a row, spans in double brackets with their label.
 LABELLED = (
@@ -154,7 +155,7 @@ def _kind(c: str) -> int:
 
 def shape(word: str) -> tuple[int, ...]:
     """Kinds of characters, digits, first and last kind, length, dots."""
-    kinds = [_kind(c) for c in word[:64]]
+    kinds = [_kind(c) for c in word]
     mask = 0
     for k in kinds:
         mask |= 1 << k
@@ -276,12 +277,19 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
         while at + 1 < len(telling) and telling[at + 1] - last <= 2 * CONTEXT:
             at += 1
             last = telling[at]
-        whole = words[max(0, first - CONTEXT) : last + CONTEXT + 1]
-        found += [whole[a : a + LONGEST] for a in range(0, len(whole), LONGEST)]
+        found.append(words[max(0, first - CONTEXT) : last + CONTEXT + 1])
         at += 1
     return found
 
 
+def parts_of(size: int) -> list[tuple[int, int, int, int]]:
+    """Parts of a stretch (start, end) and which of their words keep their labels (from, to): each word once, with its
+    neighbours and ``MARGIN`` words to either side, where the stretch goes on, in the same part."""
+    starts = range(0, max(1, size - 2 * MARGIN), LONGEST - 2 * MARGIN)
+    ends = [min(a + LONGEST, size) for a in starts]
+    return [(a, b, a + MARGIN if a else 0, b - MARGIN if b < size else b) for a, b in zip(starts, ends)]
+
+
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """Without signs around the value."""
     while start < end and not (text[start].isalnum() or text[start] in "+("):
@@ -309,11 +317,15 @@ def _field_spans(text: str, stretch, labels) -> list[tuple[int, int, int]]:
 def find(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
     """Per text: spans of the patterns, and all spans; (start, place of the kind, end) in order."""
     base = [base_spans(t) if t and TELLING.search(t) else [] for t in texts]
-    parts = [(i, s) for i, t in enumerate(texts) if t and TELLING.search(t) for s in stretches(t)]
-    decoded = field.decode([features([texts[i][a:b] for a, b in s]) for i, s in parts])
+    whole = [(i, s) for i, t in enumerate(texts) if t and TELLING.search(t) for s in stretches(t)]
+    parts = [(k, *cut) for k, (_, s) in enumerate(whole) for cut in parts_of(len(s))]
+    decoded = field.decode([features([texts[whole[k][0]][a:b] for a, b in whole[k][1][start:end]]) for k, start, end, _, _ in parts])
+    labels: list[list[np.ndarray]] = [[] for _ in whole]
+    for (k, start, _, kept, to), own in zip(parts, decoded):
+        labels[k].append(own[kept - start : to - start])
     more: list[list] = [[] for _ in texts]
-    for (i, s), labels in zip(parts, decoded):
-        more[i] += _field_spans(texts[i], s, labels)
+    for (i, s), own in zip(whole, labels):
+        more[i] += _field_spans(texts[i], s, np.concatenate(own))
     out = []
     for own, found in zip(base, more):
         extra, k, reach = [], 0, 0

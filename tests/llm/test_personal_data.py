@@ -98,3 +98,24 @@ def test_table_of_documents(spark, field):
             assert set(filter(None, r["base"].split(","))) <= set(r["spans"].split(","))
     assert pd_.spans(documents(spark, []), field).collect() == []
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_shape_of_the_whole_word():
+    long = "x" * 70
+    assert pd_.shape(long + "7")[0] == pd_.shape("x7")[0] and pd_.shape(long + "7")[1:3] == pd_.shape("x7")[1:3]
+    assert pd_.shape(long + "@x")[0] == pd_.shape("x@x")[0]
+
+
+def test_parts_hold_each_word_once_with_its_neighbours():
+    for n in (1, 64, 511, 512, 513, 575, 576, 577, 960, 961, 5000):
+        cuts = pd_.parts_of(n)
+        assert [k for _, _, a, b in cuts for k in range(a, b)] == list(range(n))
+        assert all(b - a <= pd_.LONGEST and (f == 0 or f - a == pd_.MARGIN) and (t == n or b - t == pd_.MARGIN) for a, b, f, t in cuts)
+
+
+def test_values_across_the_ends_of_parts(field):
+    value = "(509) 555-6973"
+    for n in (3, *range(440, 520), *range(890, 966), 1023):
+        text = "row 7 " * (n // 2) + "a " * (n % 2) + "phone " + value + " today " + "row 7 " * 40
+        (_, spans), = pd_.find([text], field)
+        assert value in [text[a:b] for a, _, b in spans], n
