@@ -4,8 +4,9 @@ Each source gets a target number of words. A document's expected copies are targ
 source: the whole part is allocated to every document, the rest is sampled. For that, documents of
 a source are ranked by random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))`` with ``u``
 a hash of id and seed, and taken in that order until the words asked for are reached; the document
-on the border is taken if that comes nearer. So the sample has a fixed size in words and its
-inclusion probabilities follow ``weight``.
+on the border is taken if that comes nearer. So the sample has a fixed size in words. ``p`` is the
+same for all documents of a source unless ``relative`` is given, and the order then that of ``u``,
+plain random.
 
 Nothing is gathered per source. Ranks are cut into ``BINS`` equal parts of (0, 1); words are summed
 by (source, bin), the bin in which a source's target falls is found from these sums, and only rows
@@ -13,8 +14,8 @@ of that one bin are put in order. The outcome is one threshold per source, which
 compared with where it stands: texts are never shuffled.
 
 Nulls and other cases: a null text has size 0; a null source is a source of its own, last in the
-order; null ids share one random number, as do repeated rows, which are therefore taken or left
-together; sources without words have target 0; empty tables give empty results; other columns are
+order; rows without id draw by their text; repeated rows share one random number and are taken or
+left together; sources without words have target 0; empty tables give empty results; other columns are
 carried along by ``mixed`` and may have any name not starting with ``_mix``.
 """
 
@@ -37,8 +38,9 @@ def words(column: str = "text") -> Column:
 
 
 def uniform(doc_id: str = "doc_id", seed: str = SEED) -> Column:
-    """A number in (0, 1) that depends on the id and the seed only."""
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    """A number in (0, 1) that depends on the seed and the id only, or on the text where the id is null."""
+    name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null|"), F.md5(text_of().cast("binary"))))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), name))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 

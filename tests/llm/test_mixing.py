@@ -75,3 +75,8 @@ def test_relative_odds_change_who_is_taken(spark):
     odd = sum(r["_mix"]["copies"] for r in got if r["doc_id"] % 2)
     assert even > 1.25 * odd
     check(rows, mixing.mixed(docs, relative=odds).collect())
+
+
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"w{i} " * 10, None, ["a", "b", "c"][i % 3]) for i in range(900)]
+    check(rows, mixing.mixed(documents(spark, rows)).collect())
