@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chirrup.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, mixing, personal_data, repeated_spans, secret_ledger, toxicity
+from chirrup.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    mixing,
+    personal_data,
+    repeated_spans,
+    secret_ledger,
+    token_alignment,
+    toxicity,
+    vector_codes,
+)
 from chirrup.llm.common import table
+from chirrup.llm.license_rules import BASE, RULES
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +83,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), token_alignment.Vocabularies.read())
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents")).drop("found")
+
+
 def _secret_spans() -> str:
     """Spans of one text per rule, from the lengths of what a pattern matches and of what lies between."""
     patterns = {
@@ -140,6 +167,53 @@ copied AS (SELECT *, (whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest T
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM copied
 """
 
+OP11 = """
+WITH whole AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)),
+kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN v] AS v
+  FROM whole WHERE len(v) = (SELECT len(v) FROM whole ORDER BY vec_id NULLS LAST, v LIMIT 1)),
+parts AS (SELECT r, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM kept, range(16) AS t(p)),
+b0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 64),
+a0 AS (SELECT r, p, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT * 64 + e) AS de FROM parts JOIN b0 USING (p) GROUP BY r, p),
+m1 AS (SELECT p, de % 64 AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM a0 JOIN parts USING (r, p), unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL),
+b1 AS (SELECT p, e, coalesce(list(m ORDER BY i) FILTER (m IS NOT NULL), any_value(c)) AS c FROM b0 LEFT JOIN m1 USING (p, e) GROUP BY p, e),
+a1 AS (SELECT r, p, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT * 64 + e) AS de FROM parts JOIN b1 USING (p) GROUP BY r, p),
+m2 AS (SELECT p, de % 64 AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM a1 JOIN parts USING (r, p), unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL),
+b2 AS (SELECT p, e, coalesce(list(m ORDER BY i) FILTER (m IS NOT NULL), any_value(c)) AS c FROM b1 LEFT JOIN m2 USING (p, e) GROUP BY p, e),
+a2 AS (SELECT r, p, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT * 64 + e) AS de FROM parts JOIN b2 USING (p) GROUP BY r, p),
+coded AS (SELECT r, string_agg(printf('%02x', (de % 64)::INTEGER), '' ORDER BY p) AS code, sum(de // 64)::BIGINT AS error FROM a2 GROUP BY r),
+digest AS (SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY p, e), '')) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+#: Spaces are doubled, so that matches of neighbouring words need not share one.
+OP13 = rf"""
+WITH rules (number, label, keyword, pattern, priority) AS (VALUES {_values((r.number, r.label, r.keyword.replace(" ", "  "), " (?:" + r.pattern.replace(" ", "  ") + ") ", r.priority) for r in RULES)}),
+phrases (label, pattern) AS (VALUES {_values((label, " " + p.replace(" ", "  ") + " ") for p, label in BASE)}),
+texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spaced AS (SELECT r, doc_id, len(w) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS t FROM texts),
+matches AS (SELECT r, number, label, priority, pattern, t, unnest(range(1, len(m) + 1)) AS i, m, string_split_regex(t, pattern) AS g
+  FROM (SELECT r, number, label, priority, pattern, t, regexp_extract_all(t, pattern) AS m FROM spaced JOIN rules ON contains(t, keyword)) WHERE len(m) > 0),
+placed AS (SELECT r, number, label, priority, (length(b) - length(replace(b, ' ', ''))) // 2 AS a, (length(m[i]) - length(replace(m[i], ' ', ''))) // 2 AS n FROM (
+  SELECT *, array_to_string(g[1:i], '') || array_to_string(m[1:i-1], '') AS b FROM matches)),
+kept AS (SELECT * FROM placed x WHERE NOT EXISTS (SELECT 1 FROM placed y WHERE y.r = x.r AND y.a <= x.a AND x.a + x.n <= y.a + y.n
+  AND (-y.priority, -y.n, y.a, y.number) < (-x.priority, -x.n, x.a, x.number))),
+base_places AS (SELECT r, label, (length(b) - length(replace(b, ' ', ''))) // 2 AS a FROM (
+  SELECT r, label, unnest([array_to_string(g[1:i], '') || repeat(pattern, (i - 1)::BIGINT) FOR i IN range(1, len(g))]) AS b FROM (
+    SELECT r, label, pattern, string_split(t, pattern) AS g FROM spaced JOIN phrases ON contains(t, pattern)))),
+base AS (SELECT r, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base_places GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(priority) AS priority FROM (
+  SELECT r, label, priority FROM kept UNION ALL SELECT r, label, {license_scan.BASE_WEIGHT} FROM base_places) GROUP BY r)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(priority, 0) / 100.0::DOUBLE AS score
+FROM spaced LEFT JOIN base USING (r) LEFT JOIN named USING (r)
+"""
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
@@ -151,5 +225,8 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLE = {"op2_secrets": OP2, "op3_exact_dedup": OP3, "op6_chat_format": OP6, "op9_mixing": OP9}
+ORACLE = {"op2_secrets": OP2, "op3_exact_dedup": OP3, "op6_chat_format": OP6, "op9_mixing": OP9, "op11_vector_codes": OP11, "op13_license_scan": OP13}
