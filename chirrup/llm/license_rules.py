@@ -245,26 +245,24 @@ public-domain | public domain | (?:is|are) in the public domain
 
 #: Names without a version, in words that grant.
 MENTIONS = """
-mit | mit | (?:the )?mit licen[sc]e
+mit | mit | mit licen[sc]e
 mit | mit | licen[sc]ed? under (?:the )?(?:terms of (?:the )?)?mit
 mit | mit | mit x11 licen[sc]e
 x11 | x11 | x11 licen[sc]e
-apache | apache | (?:the )?apache (?:software )?licen[sc]e
-apache | apache | licen[sc]ed? under (?:the )?(?:terms of (?:the )?)?apache
-bsd | bsd | (?:the )?bsd(?: style)? licen[sc]e
-bsd | bsd | licen[sc]ed? under (?:the )?(?:terms of (?:the )?)?bsd
-gpl | general public | (?:the )?gnu general public licen[sc]e
-gpl | gpl | (?:the )?(?:gnu )?gpl(?: licen[sc]e)?
-lgpl | lesser general | (?:the )?gnu lesser general public licen[sc]e
-lgpl | lgpl | (?:the )?(?:gnu )?lgpl(?: licen[sc]e)?
-agpl | affero | (?:the )?(?:gnu )?affero general public licen[sc]e
-agpl | agpl | (?:the )?(?:gnu )?agpl(?: licen[sc]e)?
-mpl | mozilla public | (?:the )?mozilla public licen[sc]e
-epl | eclipse public | (?:the )?eclipse public licen[sc]e
-cddl | common development | (?:the )?common development and distribution licen[sc]e
-artistic | artistic | (?:the )?artistic licen[sc]e
-gfdl | free documentation | (?:the )?gnu free documentation licen[sc]e
-creative-commons | creative commons | (?:a |the )?creative commons licen[sc]e
+apache | apache | apache (?:software )?licen[sc]e
+bsd | bsd | bsd(?: style)? licen[sc]e
+gpl | general public | gnu general public licen[sc]e
+gpl | gpl | (?:gnu )?gpl(?: licen[sc]e)?
+lgpl | lesser general | gnu lesser general public licen[sc]e
+lgpl | lgpl | (?:gnu )?lgpl(?: licen[sc]e)?
+agpl | affero | (?:gnu )?affero general public licen[sc]e
+agpl | agpl | (?:gnu )?agpl(?: licen[sc]e)?
+mpl | mozilla public | mozilla public licen[sc]e
+epl | eclipse public | eclipse public licen[sc]e
+cddl | common development | common development and distribution licen[sc]e
+artistic | artistic | artistic licen[sc]e
+gfdl | free documentation | gnu free documentation licen[sc]e
+creative-commons | creative commons | creative commons licen[sc]e
 eupl | european union public | european union public licen[sc]e
 proprietary | proprietary | proprietary and confidential
 proprietary | unauthorized copying | unauthorized copying of this (?:file|work|software)

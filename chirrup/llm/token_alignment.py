@@ -10,9 +10,9 @@ what lies between two cuts is a *group* of tokens of both, and the two tokens th
    part's tokens do not depend on its neighbours, and each distinct part is encoded once per task,
    in batches.
 2. Inside a part the tokenizers' own spans are coarse cuts: character offsets of one, offsets of the
-   pieces in the parsed text of the other. Where spans overlap (a character in several tokens) or do
-   not touch (the added space, byte pieces), the decoded bytes of the tokens give the place. Every
-   token is then held against the bytes it covers.
+   pieces in the parsed text of the other. A span that does not hold just its token's bytes (a
+   character in several tokens, byte pieces, the added space) is refined by the token's decoded bytes.
+   So every token is held against the bytes it covers.
 3. Pairs are counted inside each text, then over all. A text's sums come from a join of its distinct
    pairs with the counts: the most frequent ones by broadcast up to a size, rarer ones by a shuffle.
 
@@ -124,12 +124,12 @@ class Aligner:
 def _ends(spans: list[tuple[int, int]], tokens: list[bytes], data: bytes) -> list[int] | None:
     """The byte at which each token ends, None if the tokens' bytes are not ``data``.
 
-    A span that touches both neighbours is taken as it is; else the token's own bytes tell its length.
+    A span that holds just the token's bytes is taken as it is. Else (a character in several tokens,
+    white space that the span leaves out, byte pieces, the added space) the bytes tell the token's length.
     """
     ends, at = [], 0
-    for k, ((begin, end), token) in enumerate(zip(spans, tokens)):
-        touches = begin == at and (spans[k + 1][0] if k + 1 < len(spans) else len(data)) == end
-        at, start = end if touches else at + len(token), at
+    for (begin, end), token in zip(spans, tokens):
+        start, at = at, end if begin == at and data[begin:end] == token else at + len(token)
         if not token or data[start:at] != token:
             return None
         ends.append(at)

@@ -156,7 +156,7 @@ def encode(rows: DataFrame, books: Codebooks) -> DataFrame:
     """Per row of ``rows`` (vec_id, label, vector): vec_id, label, code (two hex digits a part), error."""
 
     def run(batches):
-        indexes = [SliceIndex(b) for b in books.entries]
+        indexes = [SliceIndex(b) for b in books.entries if len(b)]  # without entries there are no rows
         digits = np.frombuffer(b"".join(b"%02x" % i for i in range(256)), "S2")
         for batch in batches:
             n = batch.num_rows

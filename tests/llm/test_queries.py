@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_personal_data": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op9_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op10_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+    "op11_vector_codes": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+    "op12_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13_license_scan": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
 }
 
 
