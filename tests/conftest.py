@@ -6,7 +6,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +24,6 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def con():
-    from compare import oracle
+    from compare import SMALL, oracle
 
     return oracle(SMALL)

@@ -87,7 +87,7 @@ def test_first_copy_wins(spark):
 def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     from chirrup.sources.star_adapter import StarSchema
     from chirrup.streaming import sweeps
-    from conftest import SMALL
+    from compare import SMALL
 
     log = StarSchema(spark, SMALL).event_log.drop("prob_sentiment_Positive", "prob_sentiment_Negative").withColumn("arc", F.lit(None).cast("string"))
     landing = str(tmp_path / "landing")
@@ -105,7 +105,7 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
 def test_watermarked_dedup_runs(spark, tmp_path):
     from chirrup.sources.star_adapter import StarSchema
     from chirrup.streaming import sweeps
-    from conftest import SMALL
+    from compare import SMALL
 
     log = StarSchema(spark, SMALL).event_log.drop("prob_sentiment_Positive", "prob_sentiment_Negative").withColumn("arc", F.lit(None).cast("string"))
     files.append_events(log.coalesce(1), str(tmp_path / "landing"))
@@ -116,7 +116,7 @@ def test_watermarked_dedup_runs(spark, tmp_path):
 
 
 def test_written_values_can_differ_from_recomputed_ones(spark, tmp_path):
-    from conftest import SMALL
+    from compare import SMALL
     from registry import learning
     from registry.core import on
 
@@ -129,7 +129,7 @@ def test_written_values_can_differ_from_recomputed_ones(spark, tmp_path):
 
 
 def test_both_feature_tables_are_written(spark):
-    from conftest import SMALL
+    from compare import SMALL
     from registry import monitoring
     from registry.core import on
 

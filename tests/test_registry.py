@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, types
-from conftest import SMALL
+from compare import SMALL
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 SLOW = ("N15_", "X12_", "N12_")  # trained in test_models instead
