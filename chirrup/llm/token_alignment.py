@@ -7,12 +7,12 @@ what lies between two cuts is a *group* of tokens of both, and the two tokens th
 1. A text is parted before every single space between characters that are no white space. A
    byte-level token never goes across such a place, nor does a piece, unless the vocabulary has one
    with white space after something else (looked up on loading; such texts then stay whole). So a
-   part's tokens do not depend on its neighbours, and each distinct part is encoded once per task,
-   in batches.
-2. Inside a part the tokenizers' own spans are coarse cuts: character offsets of one, offsets of the
-   pieces in the parsed text of the other. A span that does not hold just its token's bytes (a
-   character in several tokens, byte pieces, the added space) is refined by the token's decoded bytes.
-   So every token is held against the bytes it covers.
+   part's tokens do not depend on its neighbours, and a task encodes each distinct part once, many
+   of them joined by spaces at a time.
+2. The tokenizers' own spans are coarse cuts: character offsets of one, byte offsets of the pieces in
+   the parsed text of the other. A span that does not hold just its token's bytes (a character in
+   several tokens, byte pieces, the added space) is refined by the token's decoded bytes, and all
+   tokens together must give the text back.
 3. Pairs are counted inside each text, then over all. A text's sums come from a join of its distinct
    pairs with the counts: the most frequent ones by broadcast up to a size, rarer ones by a shuffle.
 
@@ -24,7 +24,9 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -37,8 +39,9 @@ from chirrup.session import materialise
 
 FOLDER = "/opt/tokenizers"
 PARTING = re.compile(r"(?<=\S) (?=\S)")
-KEPT_PARTS = 200_000  # of distinct parts in a task's memory
-KEPT_LENGTH = 64
+SLICE = 1 << 20  # characters of whole texts that are worked on at a time
+JOINED = 1 << 16  # characters of parts that are encoded at a time
+KEPT_PARTS = 400_000  # of distinct parts in a task's memory
 PAIR_BYTES = 32  # of a pair's count in a broadcast
 
 
@@ -61,6 +64,22 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
+class Parts:
+    """Aligned parts by number: tokens of both (-1: the bytes differ), groups as text, and links."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.n_a, self.n_b, self.first, self.n_links, self.links = (array("q") for _ in range(5))
+
+    def add(self, part: str, n_a: int, n_b: int, groups: str, links: np.ndarray) -> None:
+        self.number[part] = len(self.groups)
+        self.groups.append(groups)
+        for column, value in ((self.n_a, n_a), (self.n_b, n_b), (self.first, len(self.links)), (self.n_links, len(links))):
+            column.append(value)
+        self.links.frombytes(np.ascontiguousarray(links, np.int64).tobytes())
+
+
 class Aligner:
     """Both tokenizers in one task, with the parts that it has seen."""
 
@@ -72,74 +91,126 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=files.pieces)
         of = byte_characters()
-        self.a_bytes = {i: bytes(of[c] for c in token) for token, i in self.a.get_vocab().items() if all(c in of for c in token)}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab().items():
+            self.a_bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else b""
         ids = range(self.b.get_piece_size())
         pieces = [self.b.id_to_piece(i) for i in ids]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
-        self.parted = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.seen: dict[str, tuple | None] = {}
+        rules = json.loads(files.byte_level)
+        splits = (rules["pre_tokenizer"] or {}).get("type") == "ByteLevel" and rules["pre_tokenizer"].get("use_regex", True) and not rules["normalizer"]
+        self.parted = splits and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.parts = Parts()
 
-    def parts(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         return PARTING.split(text) if self.parted else [text]
 
-    def align(self, parts: set[str]) -> dict[str, tuple | None]:
-        """Of parts: (number of A tokens, of B tokens, groups as text, linked pairs), or None if the bytes differ."""
-        new = [p for p in parts if p not in self.seen]
-        got = {p: self.seen[p] for p in parts if p in self.seen}
-        if not new:
-            return got
-        encoded = self.a.encode_batch([" " + p for p in new], add_special_tokens=False)
-        parsed = self.b.encode(new, return_type="proto", num_threads=1)
-        if len(self.seen) > KEPT_PARTS:
-            self.seen.clear()
-        for part, x, y in zip(new, encoded, parsed):
-            got[part] = found = self._groups(" " + part, x, y)
-            if len(part) <= KEPT_LENGTH:
-                self.seen[part] = found
-        return got
-
-    def _groups(self, text: str, x, y) -> tuple | None:
-        data = text.encode()
-        at = np.cumsum([0, *[len(c.encode()) for c in text]]).tolist()
-        a_ids = x.ids
-        a_ends = _ends([(at[s], at[e]) for s, e in x.offsets], [self.a_bytes.get(i, b"") for i in a_ids], data)
-        b_ids = [p.id for p in y.pieces]
-        b_ends = _ends([(1 + p.begin, 1 + p.end) for p in y.pieces], [self.b_bytes[i] for i in b_ids], data)
+    def see(self, parts: set[str]) -> None:
+        """Aligns those of ``parts`` that are not among ``self.parts``; forgets earlier ones when there are too many."""
+        if len(self.parts.groups) > KEPT_PARTS:
+            self.parts = Parts()
+        waiting: list[list[str]] = []
+        size = JOINED
+        for part in parts - self.parts.number.keys():
+            if "▁" in part:  # comes back as a space
+                self.parts.add(part, -1, -1, "", np.zeros(0, np.int64))
+                continue
+            if not self.parted or part[0].isspace() or part[-1].isspace():  # a text's beginning or end: not to be joined
+                waiting.append([part])
+                size = JOINED
+                continue
+            if size + len(part) > JOINED:
+                waiting.append([])
+                size = 0
+            waiting[-1].append(part)
+            size += len(part) + 1
+        while waiting:
+            some, waiting = waiting[:16], waiting[16:]
+            texts = [" ".join(parts) for parts in some]
+            encoded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+            for parts, text, x, y in zip(some, texts, encoded, self.b.encode(texts, return_type="proto", num_threads=1)):
+                if self._add(parts, text, x, y):
+                    continue
+                if len(parts) == 1:
+                    self.parts.add(parts[0], -1, -1, "", np.zeros(0, np.int64))
+                else:  # the part whose bytes differ is in one of the halves
+                    waiting += [parts[: len(parts) // 2], parts[len(parts) // 2 :]]
+
+    def _add(self, parts: list[str], text: str, x, y) -> bool:
+        data = (" " + text).encode()
+        a_ids, b_ids, b_spans = x.ids, [p.id for p in y.pieces], [(p.begin, p.end) for p in y.pieces]
+        spans = np.array(x.offsets, np.int64).reshape(-1, 2)
+        if not text.isascii():
+            spans = byte_places(" " + text)[spans]
+        a_ends = _ends(spans, [self.a_bytes[i] for i in a_ids], data)
+        b_ends = _ends(np.array(b_spans, np.int64).reshape(-1, 2) + 1, [self.b_bytes[i] for i in b_ids], data)
         if a_ends is None or b_ends is None:
-            return None
-        groups, links, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-        while i < len(a_ends):
-            if a_ends[i] < b_ends[j]:
-                i += 1
-            elif a_ends[i] > b_ends[j]:
-                j += 1
-            else:
-                links.append(a_ids[i] << 32 | b_ids[j])
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a_ids[first_i:i])) + "|" + ",".join(map(str, b_ids[first_j:j])))
-                first_i, first_j = i, j
-        return len(a_ids), len(b_ids), ";".join(groups), links
-
-
-def _ends(spans: list[tuple[int, int]], tokens: list[bytes], data: bytes) -> list[int] | None:
+            return False
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        i, j = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        links = np.array(a_ids, np.int64)[i] << 32 | np.array(b_ids, np.int64)[j]
+        groups, p, q, a_text, b_text = [], 0, 0, list(map(str, a_ids)), list(map(str, b_ids))
+        for next_p, next_q in zip((i + 1).tolist(), (j + 1).tolist()):
+            groups.append(",".join(a_text[p:next_p]) + "|" + ",".join(b_text[q:next_q]))
+            p, q = next_p, next_q
+        ends = np.cumsum([1 + len(part.encode()) for part in parts])
+        upto = np.searchsorted(cuts, ends) + 1
+        if (cuts[upto - 1] != ends).any():
+            raise ValueError("tokens go across a single space between words")
+        tokens_a, tokens_b = i[upto - 1] + 1, j[upto - 1] + 1
+        at = [0, *upto.tolist()]
+        for k, part in enumerate(parts):
+            self.parts.add(part, int(tokens_a[k] - (tokens_a[k - 1] if k else 0)), int(tokens_b[k] - (tokens_b[k - 1] if k else 0)), ";".join(groups[at[k] : at[k + 1]]), links[at[k] : at[k + 1]])
+        return True
+
+
+def byte_places(text: str) -> np.ndarray:
+    """Where each character of ``text``, and its end, lies in UTF-8."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+
+
+def _ends(spans: np.ndarray, tokens: list[bytes], data: bytes) -> np.ndarray | None:
     """The byte at which each token ends, None if the tokens' bytes are not ``data``.
 
-    A span that holds just the token's bytes is taken as it is. Else (a character in several tokens,
-    white space that the span leaves out, byte pieces, the added space) the bytes tell the token's length.
+    A span that holds just the token's bytes is taken as it is; else the token's own bytes tell its end.
     """
-    ends, at = [], 0
-    for (begin, end), token in zip(spans, tokens):
-        start, at = at, end if begin == at and data[begin:end] == token else at + len(token)
-        if not token or data[start:at] != token:
-            return None
-        ends.append(at)
-    return ends if at == len(data) else None
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    if b"".join(tokens) != data or not sizes.all():
+        return None
+    ends = np.cumsum(sizes)
+    coarse = (spans[:, 0] == ends - sizes) & (spans[:, 1] == ends)
+    return np.where(coarse, spans[:, 1], ends)
+
+
+def _of_texts(aligner: Aligner, parts: list[list[str]]):
+    """Columns n_a, n_b, n_groups, groups, pairs, times of texts given as their parts."""
+    n = len(parts)
+    aligner.see({p for text in parts for p in text})
+    known = aligner.parts
+    number = np.fromiter((known.number[p] for text in parts for p in text), np.int64)
+    text_of_part = np.repeat(np.arange(n), [len(p) for p in parts])
+    column = lambda a: np.frombuffer(a, np.int64) if len(a) else np.zeros(0, np.int64)
+    n_a, n_b, first, n_links, links = map(column, (known.n_a, known.n_b, known.first, known.n_links, known.links))
+    fine = np.bincount(text_of_part[n_a[number] >= 0], minlength=n) == np.array([len(p) for p in parts])
+    keep = fine[text_of_part]
+    number, text_of_part = number[keep], text_of_part[keep]
+    total = lambda values: np.bincount(text_of_part, values[number], minlength=n).astype(np.int64)
+    counts = n_links[number]
+    at = np.repeat(first[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    text, pair = np.repeat(text_of_part, counts), links[at]
+    order = np.lexsort((pair, text))
+    text, pair = text[order], pair[order]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])) if len(text) else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=n))]).astype(np.int32)
+    groups = [";".join([known.groups[known.number[p]] for p in text]) if good else "" for text, good in zip(parts, fine)]
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
+    return [pa.array(total(n_a)), pa.array(total(n_b)), pa.array(total(n_links)), pa.array(groups, pa.string()), lists(pair[new]), lists(np.diff([*new, len(text)]))]
 
 
 def aligned(docs: DataFrame, files: Vocabularies, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_a, n_b, n_groups, groups (``a1,a2|b1;a3|b2,b3``), pairs (a << 32 | b, distinct) and times."""
-    kinds = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
-    none = (0, 0, 0, "", [], [])
+    names = ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times"]
 
     def texts(column):
         for value in column:
@@ -148,24 +219,15 @@ def aligned(docs: DataFrame, files: Vocabularies, id_column: str = "doc_id", tex
             except UnicodeDecodeError:
                 yield ""
 
-    def row(parts, of):
-        got = [of[p] for p in parts]
-        if not parts or None in got:
-            return none
-        pairs, times = np.unique(np.array([x for g in got for x in g[3]], np.int64), return_counts=True)
-        return sum(g[0] for g in got), sum(g[1] for g in got), int(times.sum()), ";".join(g[2] for g in got), pairs, times
-
     def run(batches):
         aligner = Aligner(files)
         for batch in batches:
             ids, first, waiting, size = batch.column(0), 0, [], 0
             for k, text in enumerate(texts(batch.column(1))):
-                waiting.append(aligner.parts(text) if text else [])
+                waiting.append(aligner.split(text) if text else [])
                 size += len(text)
-                if size >= 1 << 20 or k + 1 == batch.num_rows:
-                    of = aligner.align({p for parts in waiting for p in parts})
-                    rows = list(zip(*[row(parts, of) for parts in waiting]))
-                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(waiting)), *[pa.array(c, kind) for c, (_, kind) in zip(rows, kinds)]], ["doc_id", *[n for n, _ in kinds]])
+                if size >= SLICE or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(waiting)), *_of_texts(aligner, waiting)], names)
                     first, waiting, size = k + 1, [], 0
 
     given = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from chirrup.llm import common, token_alignment as ta
@@ -88,7 +89,21 @@ def test_nulls_repeats_and_bytes_that_are_no_text(spark, files):
 
 
 def test_spans_that_do_not_fit_are_settled_by_bytes():
-    assert ta._ends([(0, 2), (2, 3)], [b"ab", b"c"], b"abc") == [2, 3]
-    assert ta._ends([(0, 3), (0, 3), (3, 4)], [b"\xe4\xb8", b"\xad", b"x"], b"\xe4\xb8\xadx") == [2, 3, 4]
-    assert ta._ends([(1, 2)], [b" a"], b" a") == [2]
-    assert ta._ends([(0, 1)], [b"b"], b"a") is None and ta._ends([(0, 1)], [b"a"], b"ab") is None
+    def ends(spans, tokens, data):
+        got = ta._ends(np.array(spans), tokens, data)
+        return None if got is None else got.tolist()
+
+    assert ends([(0, 2), (2, 3)], [b"ab", b"c"], b"abc") == [2, 3]
+    assert ends([(0, 3), (0, 3), (3, 4)], [b"\xe4\xb8", b"\xad", b"x"], b"\xe4\xb8\xadx") == [2, 3, 4]
+    assert ends([(1, 2)], [b" a"], b" a") == [2]
+    assert ends([(0, 1)], [b"b"], b"a") is None and ends([(0, 1)], [b"a"], b"ab") is None
+
+
+def test_parts_are_forgotten_and_learned_again(spark, files, monkeypatch):
+    aligner = ta.Aligner(files)
+    texts = [["a", "bc"], [], ["a", "x▁y"], ["bc", "bc", "d"]]
+    first = [c.to_pylist() for c in ta._of_texts(aligner, texts)]
+    monkeypatch.setattr(ta, "KEPT_PARTS", 0)
+    assert [c.to_pylist() for c in ta._of_texts(aligner, texts)] == first and first[0] == [2, 0, 0, 3]
+    monkeypatch.setattr(ta, "JOINED", 1)
+    assert [c.to_pylist() for c in ta._of_texts(aligner, texts)] == first
