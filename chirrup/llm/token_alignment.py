@@ -28,6 +28,7 @@ import json
 import re
 from array import array
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +42,7 @@ FOLDER = "/opt/tokenizers"
 PARTING = re.compile(r"(?<=\S) (?=\S)")
 SLICE = 1 << 20  # characters of whole texts that are worked on at a time
 JOINED = 1 << 16  # characters of parts that are encoded at a time
-KEPT_PARTS = 400_000  # of distinct parts in a task's memory
+KEPT_PARTS = 250_000  # of distinct parts in a task's memory
 PAIR_BYTES = 32  # of a pair's count in a broadcast
 
 
@@ -72,12 +73,15 @@ class Parts:
         self.groups: list[str] = []
         self.n_a, self.n_b, self.first, self.n_links, self.links = (array("q") for _ in range(5))
 
-    def add(self, part: str, n_a: int, n_b: int, groups: str, links: np.ndarray) -> None:
-        self.number[part] = len(self.groups)
-        self.groups.append(groups)
-        for column, value in ((self.n_a, n_a), (self.n_b, n_b), (self.first, len(self.links)), (self.n_links, len(links))):
-            column.append(value)
-        self.links.frombytes(np.ascontiguousarray(links, np.int64).tobytes())
+    def add(self, parts: list[str], groups: list[str], n_a: np.ndarray, n_b: np.ndarray, n_links: np.ndarray, links: np.ndarray) -> None:
+        self.number.update(zip(parts, range(len(self.groups), len(self.groups) + len(parts))))
+        self.groups += groups
+        first = len(self.links) + np.cumsum(n_links) - n_links
+        for column, values in ((self.n_a, n_a), (self.n_b, n_b), (self.first, first), (self.n_links, n_links), (self.links, links)):
+            column.frombytes(np.ascontiguousarray(values, np.int64).tobytes())
+
+    def add_bad(self, part: str) -> None:
+        self.add([part], [""], np.array([-1]), np.array([-1]), np.array([0]), np.zeros(0, np.int64))
 
 
 class Aligner:
@@ -113,7 +117,7 @@ class Aligner:
         size = JOINED
         for part in parts - self.parts.number.keys():
             if "▁" in part:  # comes back as a space
-                self.parts.add(part, -1, -1, "", np.zeros(0, np.int64))
+                self.parts.add_bad(part)
                 continue
             if not self.parted or part[0].isspace() or part[-1].isspace():  # a text's beginning or end: not to be joined
                 waiting.append([part])
@@ -125,30 +129,31 @@ class Aligner:
             waiting[-1].append(part)
             size += len(part) + 1
         while waiting:
-            some, waiting = waiting[:16], waiting[16:]
+            some, waiting = waiting[:2], waiting[2:]
             texts = [" ".join(parts) for parts in some]
             encoded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
             for parts, text, x, y in zip(some, texts, encoded, self.b.encode(texts, return_type="proto", num_threads=1)):
                 if self._add(parts, text, x, y):
                     continue
                 if len(parts) == 1:
-                    self.parts.add(parts[0], -1, -1, "", np.zeros(0, np.int64))
+                    self.parts.add_bad(parts[0])
                 else:  # the part whose bytes differ is in one of the halves
                     waiting += [parts[: len(parts) // 2], parts[len(parts) // 2 :]]
 
     def _add(self, parts: list[str], text: str, x, y) -> bool:
         data = (" " + text).encode()
-        a_ids, b_ids, b_spans = x.ids, [p.id for p in y.pieces], [(p.begin, p.end) for p in y.pieces]
+        a_ids, pieces = x.ids, np.array([(p.id, p.begin, p.end) for p in y.pieces], np.int64).reshape(-1, 3)
+        b_ids = pieces[:, 0].tolist()
         spans = np.array(x.offsets, np.int64).reshape(-1, 2)
         if not text.isascii():
             spans = byte_places(" " + text)[spans]
         a_ends = _ends(spans, [self.a_bytes[i] for i in a_ids], data)
-        b_ends = _ends(np.array(b_spans, np.int64).reshape(-1, 2) + 1, [self.b_bytes[i] for i in b_ids], data)
+        b_ends = _ends(pieces[:, 1:] + 1, [self.b_bytes[i] for i in b_ids], data)
         if a_ends is None or b_ends is None:
             return False
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         i, j = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
-        links = np.array(a_ids, np.int64)[i] << 32 | np.array(b_ids, np.int64)[j]
+        links = np.array(a_ids, np.int64)[i] << 32 | pieces[j, 0]
         groups, p, q, a_text, b_text = [], 0, 0, list(map(str, a_ids)), list(map(str, b_ids))
         for next_p, next_q in zip((i + 1).tolist(), (j + 1).tolist()):
             groups.append(",".join(a_text[p:next_p]) + "|" + ",".join(b_text[q:next_q]))
@@ -157,10 +162,10 @@ class Aligner:
         upto = np.searchsorted(cuts, ends) + 1
         if (cuts[upto - 1] != ends).any():
             raise ValueError("tokens go across a single space between words")
-        tokens_a, tokens_b = i[upto - 1] + 1, j[upto - 1] + 1
         at = [0, *upto.tolist()]
-        for k, part in enumerate(parts):
-            self.parts.add(part, int(tokens_a[k] - (tokens_a[k - 1] if k else 0)), int(tokens_b[k] - (tokens_b[k - 1] if k else 0)), ";".join(groups[at[k] : at[k + 1]]), links[at[k] : at[k + 1]])
+        of_parts = [";".join(groups[first:end]) for first, end in zip(at, at[1:])]
+        tokens = lambda place: np.diff(place[upto - 1] + 1, prepend=0)
+        self.parts.add(parts, of_parts, tokens(i), tokens(j), np.diff(upto, prepend=0), links)
         return True
 
 
@@ -188,11 +193,12 @@ def _of_texts(aligner: Aligner, parts: list[list[str]]):
     n = len(parts)
     aligner.see({p for text in parts for p in text})
     known = aligner.parts
-    number = np.fromiter((known.number[p] for text in parts for p in text), np.int64)
-    text_of_part = np.repeat(np.arange(n), [len(p) for p in parts])
+    numbers = [list(map(known.number.__getitem__, text)) for text in parts]
+    sizes = np.array([len(p) for p in parts])
+    number, text_of_part = np.fromiter(chain.from_iterable(numbers), np.int64, sizes.sum()), np.repeat(np.arange(n), sizes)
     column = lambda a: np.frombuffer(a, np.int64) if len(a) else np.zeros(0, np.int64)
     n_a, n_b, first, n_links, links = map(column, (known.n_a, known.n_b, known.first, known.n_links, known.links))
-    fine = np.bincount(text_of_part[n_a[number] >= 0], minlength=n) == np.array([len(p) for p in parts])
+    fine = np.bincount(text_of_part[n_a[number] >= 0], minlength=n) == sizes
     keep = fine[text_of_part]
     number, text_of_part = number[keep], text_of_part[keep]
     total = lambda values: np.bincount(text_of_part, values[number], minlength=n).astype(np.int64)
@@ -203,7 +209,7 @@ def _of_texts(aligner: Aligner, parts: list[list[str]]):
     text, pair = text[order], pair[order]
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])) if len(text) else np.zeros(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=n))]).astype(np.int32)
-    groups = [";".join([known.groups[known.number[p]] for p in text]) if good else "" for text, good in zip(parts, fine)]
+    groups = [";".join(map(known.groups.__getitem__, text)) if good else "" for text, good in zip(numbers, fine)]
     lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
     return [pa.array(total(n_a)), pa.array(total(n_b)), pa.array(total(n_links)), pa.array(groups, pa.string()), lists(pair[new]), lists(np.diff([*new, len(text)]))]
 
