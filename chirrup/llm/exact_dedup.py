@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from chirrup.llm.common import SPACES, sized_side, text_of
+from chirrup.llm.common import SPACES, complete_parts, new_names, sized_side, text_of
 from chirrup.session import materialise, new_path
 
 SHARD_KEYS = 1 << 16
@@ -209,28 +209,52 @@ def _update(batches):
         yield from closed(shard, number)
 
 
+def _dealt_anew(shards: int):
+    """Stored digests as insertions into another number of shards; their filters are built again from these."""
+
+    def deal(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["kind"] == STORED]
+            number = [int.from_bytes(bytes(d)[13:21], "little") % shards for d in pdf["digest"]]
+            yield pdf.assign(shard=pd.array(number, dtype="Int32"), kind=pd.array([INSERT] * len(pdf), dtype="Int32"))
+
+    return deal
+
+
 class DigestIndex:
-    """The index as a sequence of epochs below ``path``; ``state`` is the newest epoch, or None."""
+    """The index as a sequence of epochs below ``path``; ``state`` is the newest finished epoch, or None.
+
+    An index opened on a path goes on from what was finished there, whoever wrote it. The number of shards
+    grows with the digests: when they would pass SHARD_KEYS a shard, all are dealt anew.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 1):
         self.spark, self.path, self.shards = spark, path or new_path(spark, "digest-index"), shards
-        self.epoch, self.state = 0, None
+        done, _ = complete_parts(spark, self.path, "epoch")
+        self.state = spark.read.schema(EVENT).parquet(done[-1]) if done else None
+        if done:
+            self.shards = int(done[-1].rpartition("=")[2])
 
     def apply(self, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
         """Insert and delete rows (digest, doc_id, row; deletions after insertions); gives the live digests."""
         parts = [x for x in ((INSERT, inserts), (DELETE, deletes)) if x[1] is not None]
-        if self.shards is None:
-            self.shards = max(1, -(-sum(x.count() for _, x in parts) // SHARD_KEYS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        events = self.state
+        stored = self.state.where(F.col("kind") == STORED).count() if self.state is not None else 0
+        least = -(-(stored + (inserts.count() if inserts is not None else 0)) // SHARD_KEYS)
+        events, shards = self.state, self.shards
+        if self.state is None:
+            shards = max(least, shards, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        elif least > shards:
+            shards = 2 * least
+            events = self.state.mapInPandas(_dealt_anew(shards), EVENT)
         for kind, rows in parts:
             own = rows.select("digest", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row")
-            own = own.mapInPandas(_combine(kind, self.shards), EVENT)
+            own = own.mapInPandas(_combine(kind, shards), EVENT)
             events = own if events is None else events.unionByName(own)
         keys = ["shard", "kind", "digest", "doc_id", "row"]
-        state = events.repartition(self.shards, "shard").sortWithinPartitions(*keys).mapInArrow(_update, EVENT)
-        self.epoch += 1
-        state.write.parquet(f"{self.path}/epoch={self.epoch}")
-        self.state = self.spark.read.schema(EVENT).parquet(f"{self.path}/epoch={self.epoch}")
+        state = events.repartition(shards, "shard").sortWithinPartitions(*keys).mapInArrow(_update, EVENT)
+        path = f"{self.path}/epoch={complete_parts(self.spark, self.path, 'epoch')[1]}.shards={shards}"
+        state.write.parquet(path)
+        self.shards, self.state = shards, self.spark.read.schema(EVENT).parquet(path)
         return self.live()
 
     def live(self) -> DataFrame:
@@ -264,13 +288,14 @@ def kept(docs: DataFrame) -> DataFrame:
     repeat an id and a text can't be told apart by that list: of these, one is picked by number.
     """
     chosen = materialise(decisions(docs), "dedup-decisions")
-    row = [F.unhex("text_sha256").alias("_dd"), F.coalesce("doc_id", F.lit(LAST)).alias("_di")]
-    same = (digest() == F.col("_dd")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("_di"))
+    own, id_, number = new_names(docs, 3)
+    row = [F.unhex("text_sha256").alias(own), F.coalesce("doc_id", F.lit(LAST)).alias(id_)]
+    same = (digest() == F.col(own)) & (F.coalesce("doc_id", F.lit(LAST)) == F.col(id_))
     others = chosen.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*row)
     again = chosen.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(*row).distinct()
     gone = sized_side(materialise(others.unionByName(again), "dedup-gone"), 64)
     once = docs.join(gone, same, "left_anti")
     nth = F.row_number().over(Window.partitionBy(digest(), "doc_id").orderBy(F.lit(1)))
     again = sized_side(materialise(again, "dedup-again"), 64)
-    repeated = docs.join(again, same, "left_semi").withColumn("_n", nth).where("_n = 1").select(*docs.columns)
+    repeated = docs.join(again, same, "left_semi").withColumn(number, nth).where(F.col(number) == 1).select(*docs.columns)
     return once.unionByName(repeated)

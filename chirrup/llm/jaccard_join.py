@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chirrup.llm import bytewise
-from chirrup.llm.common import sized_side, text_of
+from chirrup.llm.common import new_names, sized_side, text_of
 from chirrup.llm.components import components
 from chirrup.session import materialise
 
@@ -333,6 +333,19 @@ def _candidates(most: int | None):
     return run
 
 
+def _once(batches):
+    """Of rows (unit, text), the first of each unit in this task: rows that repeat id and text are not moved again and again."""
+    seen: set[int] = set()
+    for b in batches:
+        if len(seen) > 1_000_000:
+            seen.clear()
+        new = np.zeros(b.num_rows, bool)
+        for k, unit in enumerate(b.column(0).to_pylist()):
+            new[k] = unit not in seen
+            seen.add(unit)
+        yield b.filter(pa.array(new))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b, linked) for pairs of units, from the full sets of one text each.
 
@@ -340,8 +353,9 @@ def verify(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     unit in very many pairs is spread; a task holds one set and the one compared with it.
     """
     wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    first = sized_side(materialise(distinct.select("unit", "at").join(wanted, "unit", "left_semi"), "jaccard-wanted"), 24)
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("at"), text_of().alias("text")).join(first, "at").select("unit", "text")
+    first = sized_side(materialise(distinct.select("unit", "at.at", "at.tag").join(wanted, "unit", "left_semi"), "jaccard-wanted"), 32)
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.xxhash64(text_of()).alias("tag"), text_of().alias("text"))
+    texts = texts.join(first, ["at", "tag"]).select("unit", "text").mapInArrow(_once, "unit long, text string")
     texts = materialise(texts, "jaccard-texts")
     part = F.pmod(F.xxhash64("b"), F.lit(8))
     dealt = pairs.select("a", "b", part.alias("part"))
@@ -386,7 +400,7 @@ def _by_key(rows: DataFrame) -> DataFrame:
 def unit_components(docs: DataFrame, described: DataFrame) -> DataFrame | None:
     """(unit, label) of units that link with others; None if there are none."""
     new = described.where(F.col("sigs").isNotNull())
-    at = F.min(F.coalesce("doc_id", F.lit(LAST))).alias("at")
+    at = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("at"), "tag")).alias("at")
     distinct = described.where("n > 0").groupBy("unit").agg(F.first("n").alias("n"), F.first("point", ignorenulls=True).alias("point"), at)
     distinct = materialise(distinct, "jaccard-distinct")
     place = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
@@ -445,5 +459,6 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     list of what goes is moved, if its counted size allows.
     """
     rows = _with_first(docs).where((F.col("n") > 0) & ((F.coalesce("doc_id", F.lit(LAST)) != F.col("first.id")) | (F.col("tag") != F.col("first.tag"))))
-    gone = sized_side(materialise(rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("_gone"), F.col("tag").alias("_tag")), "jaccard-gone"), 24)
-    return docs.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_tag")), "left_anti")
+    id_, tag = new_names(docs, 2)
+    gone = sized_side(materialise(rows.select(F.coalesce("doc_id", F.lit(LAST)).alias(id_), F.col("tag").alias(tag)), "jaccard-gone"), 24)
+    return docs.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col(id_)) & (F.xxhash64(text_of()) == F.col(tag)), "left_anti")

@@ -22,7 +22,7 @@ other columns are ignored by ``predictions`` and carried along by ``accepted``,
 from __future__ import annotations
 
 import math
-import re
+import regex
 from collections import Counter
 
 import pyarrow as pa
@@ -37,7 +37,7 @@ ENCODING = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 2,
 NARROW = 0.002
 SHARPNESS = 60.0
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 
 
 def learn(docs: DataFrame, *, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:

@@ -50,8 +50,8 @@ U64 = np.uint64
 # a place: 16 bits of the text's digest, 33 of the start, 7 of the number of windows, 7 of the gram's offset
 
 
-def packed(tag, start, windows, offset):
-    return (tag << 47) | (start << 14) | (windows << 7) | offset
+def packed(start, windows, offset):
+    return (start << 14) | (windows << 7) | offset
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -84,11 +84,11 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 def _describe(batches):
     schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
     for b in batches:
-        ids, tags = b.column("id").to_numpy(), b.column("tag").to_numpy().astype(np.int64)
-        for row, _, data, offsets in bytewise.slices(b.column("text")):
+        ids = b.column("id").to_numpy()
+        for row, _, data, offsets in bytewise.slices(pa.array(_restored(b.column("text")), pa.large_binary())):
             text, start, count, offset, key, content = runs(data, offsets)
             text = text + row
-            arrays = [key.view(np.int64), content.view(np.int64), ids[text], packed(tags[text], start, count, offset)]
+            arrays = [key.view(np.int64), content.view(np.int64), ids[text], packed(start, count, offset)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
 
@@ -160,7 +160,7 @@ def _halves(batches):
             count = np.array([len(p) for p in places])
             at = np.concatenate(places)
             base, owner = np.repeat(offsets[:-1], count), np.repeat(np.arange(row, end), count)
-            tag, start, windows, offset = at >> 47, (at >> 14) & ((1 << 33) - 1), (at >> 7) & 127, at & 127
+            start, windows, offset = at >> 14, (at >> 7) & 127, at & 127
             left = np.clip(offset - REACH + 1, 0, windows)  # windows whose gram starts at REACH or later
             for side, a, n, lo, hi in ((0, start, left, offset - REACH, offset + GRAM), (1, start + left, windows - left, offset, offset + LENGTH - REACH)):
                 some = np.flatnonzero(n > 0)
@@ -170,7 +170,7 @@ def _halves(batches):
                 out[0].append(key.view(np.int64))
                 out[1].append(content.view(np.int64))
                 out[2].append(ids[i])
-                out[3].append(packed(tag[some], a, n, 0))
+                out[3].append(packed(a, n, 0))
                 out[4] += [raw[x : x + m] for x, m in zip((o + a).tolist(), (n + LENGTH - 1).tolist())]
             yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in out[:4]], pa.array(out[4], pa.binary())], schema=schema)
 
@@ -257,11 +257,8 @@ def _expand(batches):
     def block(held):
         ids = np.array([r[2] for r in held], np.int64)
         at = np.array([r[3] for r in held], np.int64)
-        tag, start, windows = at >> 47, (at >> 14) & ((1 << 33) - 1), (at >> 7) & 127
-        by = np.lexsort((tag, ids))
-        order = np.empty(len(by), np.int64)
-        order[by] = np.concatenate([[0], ((ids[by][1:] != ids[by][:-1]) | (tag[by][1:] != tag[by][:-1])).cumsum()])
-        segment, window = repeats([r[4] for r in held], order, start, windows)
+        start, windows = at >> 14, (at >> 7) & 127
+        segment, window = repeats([r[4] for r in held], ids, start, windows)
         by = np.lexsort((window, segment))
         segment, window = segment[by], window[by]
         new = np.ones(len(segment), bool)
@@ -269,7 +266,7 @@ def _expand(batches):
         first = np.flatnonzero(new)
         count = np.diff([*first, len(segment)])
         s = segment[first]
-        return rows(ids[s], packed(tag[s], start[s] + window[first], count, 0))
+        return rows(ids[s], packed(start[s] + window[first], count, 0))
 
     def windows_of(held):
         """All windows of these halves with two hashes each."""
@@ -280,7 +277,7 @@ def _expand(batches):
             high = bytewise.range_hash(bytewise.prefix_sums(bytewise.byte_values(data)), places, places + LENGTH)
             other = bytewise.byte_values(data ^ np.uint8(0x55)) * U64(0xD6E8FEB86659FD93)
             low = bytewise.range_hash(bytewise.prefix_sums(other), places, places + LENGTH)
-            yield np.full(n, id_), packed(at >> 47, ((at >> 14) & ((1 << 33) - 1)) + places, 1, 0), high.view(np.int64), low.view(np.int64)
+            yield np.full(n, id_), packed((at >> 14) + places, 1, 0), high.view(np.int64), low.view(np.int64)
 
     def spill(halves):
         parts = list(windows_of(halves))
@@ -322,14 +319,21 @@ def _expand(batches):
 
 
 def _squeezed(batches):
-    """Texts as zstandard frames, so that shuffles move fewer bytes."""
+    """Texts as zstandard frames, so that shuffles move fewer bytes; of rows equal in id and text the task's first."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze, seen = zstandard.ZstdCompressor(level=3), set()
     for b in batches:
-        at = b.schema.get_field_index("text")
-        texts = [squeeze.compress(x.encode()) for x in b.column(at).to_pylist()]
-        yield b.set_column(at, pa.field("text", pa.binary()), pa.array(texts, pa.binary()))
+        texts, rows = [], []
+        for k, (key, text) in enumerate(zip(zip(b.column("id").to_pylist(), b.column("digest").to_pylist()), b.column("text"))):
+            if key in seen:
+                continue
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.add(key)
+            rows.append(k)
+            texts.append(squeeze.compress(text.as_py()))
+        yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "digest")], pa.array(texts, pa.binary())], ["id", "digest", "text"])
 
 
 def _restored(column) -> list[bytes]:
@@ -340,42 +344,42 @@ def _restored(column) -> list[bytes]:
 
 
 def _cut(batches):
-    """Removes the marked windows' bytes: (id, tag, n_removed, n_spans, kept_sha256)."""
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    """Removes the marked windows' bytes: (id, n_removed, n_spans, kept_sha256)."""
+    schema = pa.schema([("id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for b in batches:
         out = []
-        for id_, tag, raw, marks in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), _restored(b.column("text")), b.column("marks")):
+        for id_, raw, marks in zip(b.column("id").to_pylist(), _restored(b.column("text")), b.column("marks")):
             at = marks.values.to_numpy()
-            start, windows = (at >> 14) & ((1 << 33) - 1), (at >> 7) & 127
+            start, windows = at >> 14, (at >> 7) & 127
             depth = np.zeros(len(raw) + 1, np.int32)
             np.add.at(depth, start, 1)
             np.add.at(depth, start + windows + LENGTH - 1, -1)
             gone = np.cumsum(depth)[:-1] > 0
             edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(raw) else 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((id_, tag, int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()))
+            out.append((id_, int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = text_of()
-    own = [F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("tag")]
-    rows = materialise(docs.select("doc_id", *own, F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "spans-rows")
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = materialise(rows.join(firsts, "digest").where("id > first").select("id", "tag").distinct(), "spans-copies")
-    texts = docs.select(*own, text.alias("text"))
-    some = texts.where(F.octet_length("text") >= LENGTH).join(sized_side(copies, 16), ["id", "tag"], "left_anti")
-
-    squeezed = texts.mapInArrow(_squeezed, "id long, tag int, text binary")
-
-    described = some.mapInArrow(_describe, "key long, content long, id long, at long")
+    own = [F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")]
+    rows = materialise(docs.select("doc_id", *own, F.octet_length(text).cast("long").alias("n_bytes")), "spans-rows")
+    firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("n_bytes").alias("n_bytes"))
+    # a text's number orders the texts as their documents: sorted ranges, numbered in place, written once
+    ordered = firsts.repartitionByRange("first", "digest").sortWithinPartitions("first", "digest")
+    firsts = materialise(ordered.select("digest", "first", "n_bytes", F.monotonically_increasing_id().alias("number")), "spans-firsts")
+    long_ones = firsts.where(F.col("n_bytes") >= LENGTH).select("digest", F.col("first").alias("id"), "number")
+    squeezed = docs.select(*own, text.cast("binary").alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(_squeezed, "id long, digest binary, text binary")
+    texts = materialise(squeezed.join(long_ones, ["id", "digest"]).select(F.col("number").alias("id"), "text"), "spans-texts")
+
+    described = texts.mapInArrow(_describe, "key long, content long, id long, at long")
     settled = described.repartition("key").sortWithinPartitions("key", "content", "id", "at").mapInArrow(_settle, "id long, at long, key long, open boolean")
     settled = materialise(settled, "spans-runs")
 
-    tag = F.shiftright("at", 47).cast("int").alias("tag")
-    asked = settled.where("open").select("id", tag, "at").groupBy("id", "tag").agg(F.collect_list("at").alias("asked"))  # as many as a text has runs
-    halves = squeezed.join(asked.hint("shuffle_hash"), ["id", "tag"]).select("id", "asked", "text").mapInArrow(_halves, "key long, content long, id long, at long, bytes binary")
+    asked = settled.where("open").groupBy("id").agg(F.collect_list("at").alias("asked"))  # as many as a text has runs
+    halves = texts.join(asked.hint("shuffle_hash"), "id").select("id", "asked", "text").mapInArrow(_halves, "key long, content long, id long, at long, bytes binary")
     found = halves.repartition("key").sortWithinPartitions("key", "content", "id", "at").mapInArrow(_expand, "id long, at long, high long, low long")
     found = materialise(found, "spans-found")
 
@@ -383,12 +387,12 @@ def removed(docs: DataFrame) -> DataFrame:
     earliest = windows.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("first"))
     late = windows.join(earliest, ["high", "low"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
     marks = settled.where("NOT open").select("id", "at").union(found.where("high IS NULL").select("id", "at")).union(late.select("id", "at"))
-    marks = marks.select("id", tag, "at").groupBy("id", "tag").agg(F.collect_list("at").alias("marks"))
-    cut = squeezed.join(marks.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "marks").mapInArrow(_cut, "id long, tag int, n_removed long, n_spans long, kept_sha256 string")
-    cut = cut.dropDuplicates(["id", "tag"])  # rows equal in id and text were cut alike
+    marks = marks.groupBy("id").agg(F.collect_list("at").alias("marks"))
+    cut = texts.join(marks.hint("shuffle_hash"), "id").select("id", "text", "marks").mapInArrow(_cut, "id long, n_removed long, n_spans long, kept_sha256 string")
+    cut = cut.dropDuplicates(["id"]).withColumnRenamed("id", "number")  # rows equal in id and text were cut alike
 
     nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1)))
-    every = rows.withColumn("nth", nth).join(firsts, "digest").join(cut, ["id", "tag"], "left")
+    every = rows.withColumn("nth", nth).join(firsts.select("digest", "first", "number"), "digest").join(cut, "number", "left")
     copy, long_enough = (F.col("id") > F.col("first")) | (F.col("nth") > 1), F.col("n_bytes") >= LENGTH
     return every.select(
         "doc_id",

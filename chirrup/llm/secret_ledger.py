@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chirrup.llm.common import text_of
+from chirrup.llm.common import complete_parts, text_of
 from chirrup.session import materialise, new_path
 
 
@@ -93,16 +93,18 @@ class Ledger:
     """Scanned (blob, rule version) pairs with their findings, appended to a folder of Parquet."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.batches = spark, path or new_path(spark, "secret-ledger"), 0
+        self.spark, self.path = spark, path or new_path(spark, "secret-ledger")
 
     def table(self) -> DataFrame:
-        if not self.batches:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*[f"{self.path}/batch={n}" for n in range(self.batches)])
+        """All finished batches, whoever wrote them."""
+        done, _ = complete_parts(self.spark, self.path, "batch")
+        return self.spark.read.schema(LEDGER).parquet(*done) if done else self.spark.createDataFrame([], LEDGER)
 
-    def append(self, scanned: DataFrame) -> None:
-        scanned.write.parquet(f"{self.path}/batch={self.batches}")
-        self.batches += 1
+    def append(self, scanned: DataFrame) -> DataFrame:
+        """Writes a batch and gives it back; one that fails is left out and its number not used again."""
+        path = f"{self.path}/batch={complete_parts(self.spark, self.path, 'batch')[1]}"
+        scanned.write.parquet(path)
+        return self.spark.read.schema(LEDGER).parquet(path)
 
 
 def scan(history: DataFrame, key: str, content: str, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> int:
@@ -123,14 +125,13 @@ def scan(history: DataFrame, key: str, content: str, ledger: Ledger, rules: tupl
     )
     texts = history.select(F.xxhash64(key).alias("_row"), blob_of(content).alias("_blob"), text_of(content).alias("_text"))
     texts = texts.join(todo.hint("shuffle_hash"), (F.col("_row") == F.col("_first")) & (F.col("_blob") == F.col("_b")))
+    texts = texts.dropDuplicates(["_row", "_blob"])  # rows that repeat key and content lie together after the join
     none = F.array().cast(FOUND)
     found = [
         F.when(F.array_contains("_todo", r.name) & F.col("_text").rlike(r.hint or r.pattern), _matches(F.col("_text"), r)).otherwise(none) for r in rules
     ]
     scanned = texts.select(F.col("_blob").alias("blob"), F.col("_todo").alias("rules"), F.concat(*found).alias("found"))
-    at = ledger.batches
-    ledger.append(scanned)
-    return ledger.spark.read.parquet(f"{ledger.path}/batch={at}").count()
+    return ledger.append(scanned).count()
 
 
 def findings(history: DataFrame, key: str, content: str, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,7 +146,7 @@ def findings(history: DataFrame, key: str, content: str, ledger: Ledger, rules:
         .where(F.size("found") > 0)
         .select("blob", F.explode("found").alias("f"))
         .where(F.col("f.rule").isin(names))
-        .distinct()  # repeated rows may be read twice
+        .distinct()  # two scans at a time may have read one blob
         .groupBy("blob")
         .agg(F.collect_list("f").alias("found"))
     )

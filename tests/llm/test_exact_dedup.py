@@ -60,3 +60,25 @@ def test_empty_table_and_kept_rows(spark):
     left = exact_dedup.kept(docs)
     assert left.columns == docs.columns
     assert rows_of(left.select("doc_id", "text")) == sorted([(1, "a"), (1, "b"), (None, "c"), (None, None)], key=repr)
+
+
+def test_an_index_is_opened_again_and_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 10)
+    rows = lambda a, b: exact_dedup.digests(spark.createDataFrame([(i, f"text {i}") for i in range(a, b)], "doc_id long, text string"))
+    path = f"file://{tmp_path}/index"
+    first = exact_dedup.DigestIndex(spark, path)
+    first.apply(inserts=rows(0, 20))
+    second = exact_dedup.DigestIndex(spark, path)
+    assert second.shards == first.shards and second.live().count() == 20
+    second.apply(inserts=rows(10, 200))
+    assert second.shards > first.shards
+    third = exact_dedup.DigestIndex(spark, path)
+    third.apply(deletes=rows(0, 5))
+    live = {r["keep_id"]: r["group_size"] for r in third.live().collect()}
+    assert live == {i: 2 if 10 <= i < 20 else 1 for i in range(5, 200)}
+
+
+def test_columns_with_names_of_inner_ones(spark):
+    schema = "doc_id long, text string, _n int, _dd string, _di int, _own0 string, _OWN1 string"
+    docs = spark.createDataFrame([(1, "a", 77, "x", 5, "y", "z"), (1, "a", 77, "x", 5, "y", "z"), (2, "a", 1, "x", 5, "y", "z")], schema)
+    assert [tuple(r) for r in exact_dedup.kept(docs).collect()] == [(1, "a", 77, "x", 5, "y", "z")]

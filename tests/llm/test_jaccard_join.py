@@ -110,3 +110,27 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (100, 100)], "a long, b long")
     got = {r["vertex"]: r["component"] for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_texts_without_ids_meet_once(spark, monkeypatch):
+    """Rows with one id are told apart by their text, so that the texts written grow with the documents."""
+    texts = list(near_copies(150, 60, 2))
+    rows = [(None, t) for t in texts] + [(3, t) for t in texts[:40]] + [(None, texts[0])] * 50
+    written = {}
+    real_write = jj.materialise
+
+    def counted(df, label="rows"):
+        out = real_write(df, label)
+        written[label] = written.get(label, 0) + (out.count() if label == "jaccard-texts" else 0)
+        return out
+
+    monkeypatch.setattr(jj, "materialise", counted)
+    got = jj.linked_documents(documents(spark, rows)).collect()
+    assert len(got) == len(rows) and written["jaccard-texts"] <= 3 * len(rows)
+    assert {r["n_shingles"] for r in got} == {len(shingles(t)) for t in texts}
+
+
+def test_names_of_inner_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "x", "y"), (2, text, "x", "y")], "doc_id long, text string, _gone string, _tag string")
+    assert [tuple(r) for r in jj.first_of_each(docs).collect()] == [(1, text, "x", "y")]

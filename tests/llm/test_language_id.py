@@ -49,3 +49,9 @@ def test_narrow_margins_are_rejected():
     same = {"a": b"some words here and there", "b": b"some words here and there"}
     lang, score, margin = li.Encoders(same).answer("some words")
     assert lang == "a" and margin == 0 and abs(score - 0.5) < 1e-9
+
+
+def test_numerals_are_no_letters(spark):
+    docs = documents(spark, [(1, "a b c", "en"), (2, "½ ²"), (3, "ⅷ ৪ 12"), (4, "a")])
+    got = {r["doc_id"]: r["lang_pred"] for r in li.predictions(docs, {"en": b"a b c"}).collect()}
+    assert got[2] == got[3] == "und" and got[4] != ""

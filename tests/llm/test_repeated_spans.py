@@ -78,19 +78,19 @@ def test_a_key_larger_than_a_block_is_settled_by_hashes(spark, monkeypatch):
 def _batches(rows):
     import pyarrow as pa
 
+    import zstandard
+
+    z = zstandard.ZstdCompressor()
     ids = pa.array([r[0] for r in rows], pa.int64())
-    described = list(rs._describe([pa.RecordBatch.from_arrays([ids, pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows])], ["id", "tag", "text"])]))
+    described = list(rs._describe([pa.RecordBatch.from_arrays([ids, pa.array([z.compress(r[1].encode()) for r in rows], pa.binary())], ["id", "text"])]))
     table = pa.Table.from_batches(described).sort_by([("key", "ascending"), ("content", "ascending"), ("id", "ascending"), ("at", "ascending")])
     settled = pa.Table.from_batches(list(rs._settle(table.to_batches()))).to_pylist()
-    import zstandard
-
     asked = {}
     for r in settled:
         if r["open"]:
             asked.setdefault(r["id"], []).append(r["at"])
     texts = dict(rows)
     keys = sorted(asked)
-    z = zstandard.ZstdCompressor()
     batch = pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int64()), pa.array([asked[k] for k in keys], pa.list_(pa.int64())), pa.array([z.compress(texts[k].encode()) for k in keys], pa.binary())], ["id", "asked", "text"]
     )
@@ -116,3 +116,21 @@ def test_repeats_of_ids_and_rows(spark):
     # one of the rows with id 1 keeps the text; the rest lose it
     assert sum(n - k for _, n, k in got) == len(text) + len("short") + len("other ")
     assert result(documents(spark, [])) == []
+
+
+def test_many_texts_without_an_id(spark):
+    """More than 16 bits could tell apart; they come in the order of their digests."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(19))
+    texts = [" ".join(word() for _ in range(8)) + (" " + passage if k % 2 else "") + " " + word() for k in range(3000)]
+    got = rs.removed(documents(spark, [(None, t) for t in texts])).collect()
+    ranked = sorted(texts, key=lambda t: hashlib.sha256(t.encode()).digest())
+    first = next(t for t in ranked if passage in t)
+    size = len(passage) + 1  # with the space before it
+    holders = [t for t in texts if passage in t]
+    removed = sorted(r["n_removed"] for r in got)
+    assert len(got) == 3000 and removed.count(0) == 3000 - len(holders) + 1
+    assert all(n >= size for n in removed if n) and sum(n >= size for n in removed) == len(holders) - 1
+    whole = {hashlib.sha256(t.encode()).hexdigest() for t in texts if passage not in t or t == first}
+    assert {r["kept_sha256"] for r in got if not r["n_removed"]} == whole

@@ -70,3 +70,20 @@ def test_private_keys_are_added(spark):
     sl.scan(docs, "doc_id", "text", ledger)
     row = sl.findings(docs, "doc_id", "text", ledger).select(sl.in_order(sl.F.col("found"), ("private_key",)).alias("s")).first()
     assert row["s"] == "private_key:2:33"
+
+
+def test_a_ledger_is_opened_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "token = abcdef123"), ("b", "nothing")], "path string, text string")
+    path = f"file://{tmp_path}/ledger"
+    assert sl.scan(rows, "path", "text", sl.Ledger(spark, path)) == 2
+    again = sl.Ledger(spark, path)
+    assert sl.scan(rows, "path", "text", again) == 0
+    assert sl.scan(rows.union(spark.createDataFrame([("c", "new")], rows.schema)), "path", "text", again) == 1
+    assert {r["path"]: len(r["found"]) for r in sl.findings(rows, "path", "text", sl.Ledger(spark, path)).collect()} == {"a": 1, "b": 0}
+
+
+def test_a_blob_is_read_once_however_often_its_row_repeats(spark):
+    rows = spark.createDataFrame([(None, "secret: abcdefg")] * 1000 + [(1, "secret: abcdefg")] * 3, "path long, text string")
+    ledger = sl.Ledger(spark)
+    assert sl.scan(rows, "path", "text", ledger) == 1 and ledger.table().count() == 1
+    assert sl.findings(rows, "path", "text", ledger).count() == 1003
