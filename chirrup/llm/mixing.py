@@ -1,17 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
 Each source gets a target number of words. A document's expected copies are target / size of its
-source: the whole part is allocated to every document, the rest is sampled. For that, documents of
-a source are ranked by random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))`` with ``u``
-a hash of id and seed, and taken in that order until the words asked for are reached; the document
-on the border is taken if that comes nearer. So the sample has a fixed size in words. ``p`` is the
-same for all documents of a source unless ``relative`` is given, and the order then that of ``u``,
-plain random.
-
-Nothing is gathered per source. Ranks are cut into ``BINS`` equal parts of (0, 1); words are summed
-by (source, bin), the bin in which a source's target falls is found from these sums, and only rows
-of that one bin are put in order. The outcome is one threshold per source, which every document is
-compared with where it stands: texts are never shuffled.
+source: the whole part is allocated to every document, the rest is sampled with unequal inclusion
+probabilities ``p = min(1, c * x)``. ``x`` is one over the root of the document's size, so that the
+words expected of a document grow with the root of its size and a few long ones do not fill a
+source's share; ``relative`` gives another ``x``. ``c`` is the number, one per source, for which
+the words expected of the sample are the words asked for; documents that reach ``p = 1`` are
+certain and come first. The others are ranked by random odds over inclusion odds,
+``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of id and seed, and taken in that order until
+the words asked for are reached; the document on the border is taken if that comes nearer. So the
+sample has a fixed size in words; rates of inclusion are ``p`` up to the share of the border document.
+
+Nothing is gathered per source. ``c`` comes from words summed by (source, x): in the order of
+falling ``x`` the certain ones are a beginning, found by two running sums. Distinct sizes number at
+most the root of twice a source's words; a ``relative`` of the caller is rounded to some sixty
+steps per doubling. Ranks are cut into ``BINS`` equal parts of (0, 1); words are summed by (source,
+bin), the bin in which a source's target falls is found from these sums, and only rows of that one
+bin are put in order. The outcome is one threshold per source, which every document is compared
+with where it stands: texts are never shuffled.
 
 Nulls and other cases: a null text has size 0; a null source is a source of its own, last in the
 order; rows without id draw by their text; repeated rows share one random number and are taken or
@@ -65,30 +71,64 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def _order(u: Column, relative: Column) -> Column:
-    """Random odds over inclusion odds, both within the source, brought into (0, 1)."""
-    odds = u / (1 - u) / relative
-    return odds / (1 + odds)
+def _propensity(size: Column, relative: Column | None) -> Column:
+    """What inclusion probabilities are proportional to, up to 1."""
+    if relative is None:
+        return 1.0 / F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
+    return F.pow(F.lit(2.0), F.round(F.log2(relative) * 64) / 64)
+
+
+def _rank(u: Column, x: Column, c: Column) -> Column:
+    """Random odds over inclusion odds, brought into 0 (certain) to 1 (never)."""
+    p = F.least(F.lit(1.0), x * c)
+    return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
+
+
+def scales(levels: DataFrame, aims: DataFrame) -> DataFrame:
+    """(s, c): ``c`` of each source, from the words of each (source, x) and the words the sample is to have.
+
+    With the ``x`` above taken for certain, ``c`` is what is left of the aim over the sum of words
+    times ``x`` of the others; the largest ``x`` that stays below 1 by it ends the certain ones.
+    """
+    aim = sized_side(aims.select(F.col("source").alias("s"), "rest"), 64)
+    falling, rising = Window.partitionBy("source").orderBy(F.desc("x")), Window.partitionBy("source").orderBy("x")
+    upto = levels.join(aim, F.col("source").eqNullSafe(F.col("s"))).select(
+        "s",
+        "x",
+        (F.col("rest") - (F.sum("words").over(falling) - F.col("words"))).alias("left"),
+        F.sum(F.col("words") * F.col("x")).over(rising).alias("others"),
+    )
+    scaled = upto.withColumn("c", F.coalesce(F.try_divide("left", "others"), F.lit(0.0)))
+    return scaled.where(F.col("x") * F.col("c") < 1).groupBy("s").agg(F.max_by("c", "x").alias("c"))
 
 
 def thresholds(docs: DataFrame, *, relative: Column | None = None, seed: str = SEED, **shares) -> DataFrame:
-    """One row per source: its size and target, the whole copies, and the last rank that the sample takes.
+    """One row per source: its size and target, the whole copies, ``c``, and the last rank that the sample takes.
 
-    ``relative`` (positive, default 1) is a document's inclusion odds relative to its source's.
+    ``relative`` (positive; default: one over the root of the size) is what a document's inclusion
+    probability is proportional to within its source.
     """
-    rank = _order(uniform("doc_id", seed), relative if relative is not None else F.lit(1.0))
     rows = materialise(
-        docs.select("source", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), words().alias("size"), rank.alias("v")).withColumn(
-            "bin", F.floor(F.col("v") * BINS).cast("int")
-        ),
+        docs.select(
+            "source",
+            F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"),
+            words().alias("size"),
+            uniform("doc_id", seed).alias("u"),
+            (relative if relative is not None else F.lit(1.0)).alias("relative"),
+        ).withColumn("x", _propensity(F.col("size"), F.col("relative") if relative is not None else None)).drop("relative"),
         "mix-rows",
     )
-    sums = materialise(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
-    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **shares)
+    levels = materialise(rows.groupBy("source", "x").agg(F.sum("size").alias("words")), "mix-levels")
+    aims = targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), **shares)
     aims = aims.withColumn("whole", F.floor(F.try_divide("target", "source_size"))).fillna({"whole": 0})
     aims = materialise(aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-aims")
+    scale = materialise(scales(levels, aims), "mix-scales")
+    ranked = rows.join(sized_side(scale, 64), F.col("source").eqNullSafe(F.col("s")), "left")
+    rows = ranked.select("source", "id", "size", _rank(F.col("u"), F.col("x"), F.coalesce("c", F.lit(0.0))).alias("v"))
+    rows = rows.withColumn("bin", F.floor(F.col("v") * BINS).cast("int"))
+    sums = materialise(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
     aim = sized_side(aims.select(F.col("source").alias("s"), "rest"), 64)
-    running = Window.partitionBy("source").orderBy("bin")  # at most BINS rows
+    running = Window.partitionBy("source").orderBy("bin")  # at most BINS + 1 rows
     cut = (
         sums.join(aim, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("upto", F.sum("words").over(running))
@@ -110,7 +150,11 @@ def thresholds(docs: DataFrame, *, relative: Column | None = None, seed: str = S
     return (
         aims.join(cut.select("s", "cut"), F.col("source").eqNullSafe(F.col("s")), "left")
         .join(last, F.col("source").eqNullSafe(F.col("s2")), "left")
-        .select("source", "source_size", "target", F.col("whole").cast("int").alias("whole"), F.coalesce("cut", F.lit(0)).alias("cut"), "last")
+        .join(scale.select(F.col("s").alias("s3"), "c"), F.col("source").eqNullSafe(F.col("s3")), "left")
+        .select(
+            "source", "source_size", "target", F.col("whole").cast("int").alias("whole"),
+            F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("cut", F.lit(0)).alias("cut"), "last",
+        )
     )
 
 
@@ -118,13 +162,14 @@ def mixed(docs: DataFrame, *, relative: Column | None = None, seed: str = SEED,
     """``docs`` (doc_id, text, source and more) with ``_mix``: size, source_size, target, copies, taken."""
     found = materialise(
         thresholds(docs, relative=relative, seed=seed, **shares).select(
-            F.col("source").alias("_mix_source"), F.struct("source_size", "target", "whole", "cut", "last").alias("_mix_aim")
+            F.col("source").alias("_mix_source"), F.struct("source_size", "target", "whole", "c", "cut", "last").alias("_mix_aim")
         ),
         "mix-thresholds",
     )
-    rank = _order(uniform("doc_id", seed), relative if relative is not None else F.lit(1.0))
-    rows = docs.withColumn("_mix_size", words()).withColumn("_mix_v", rank)
+    rows = docs.withColumn("_mix_size", words()).withColumn("_mix_x", _propensity(F.col("_mix_size"), relative))
+    rows = rows.withColumn("_mix_u", uniform("doc_id", seed))
     rows = rows.join(sized_side(found, 128), F.col("source").eqNullSafe(F.col("_mix_source")), "left")
+    rows = rows.withColumn("_mix_v", _rank(F.col("_mix_u"), F.col("_mix_x"), F.col("_mix_aim.c")))
     aim, bin_ = F.col("_mix_aim"), F.floor(F.col("_mix_v") * BINS)
     own = F.struct(F.col("_mix_v").alias("v"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("_mix_size").alias("size"))
     more = (bin_ < aim["cut"]) | ((bin_ == aim["cut"]) & F.coalesce(own <= aim["last"], F.lit(False)))

@@ -150,7 +150,7 @@ FROM rows GROUP BY conv_id
 
 OP9 = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-  (('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, 'null'))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  (('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, source_size * 2.0::DOUBLE AS cap,
@@ -160,9 +160,16 @@ levels AS (SELECT *, row_number() OVER o AS k, (sum(source_size) OVER () * 1.5::
 level AS (SELECT arg_min(level, k) AS level FROM levels WHERE cap / w > level),
 aims AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT level FROM level)), cap) AS target FROM levels),
 parts AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM aims),
-ranked AS (SELECT s.doc_id, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-  sum(s.size) OVER (PARTITION BY s.source ORDER BY (u / (1 - u)) / (1 + u / (1 - u)), doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
+spread AS (SELECT *, target - whole * source_size AS rest FROM parts),
+levelled AS (SELECT source, 1.0::DOUBLE / sqrt(greatest(size, 1)::DOUBLE) AS x, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+tried AS (SELECT l.source, x, coalesce((rest - (sum(words) OVER (f ROWS UNBOUNDED PRECEDING) - words)) / nullif(sum(words * x) OVER (r ROWS UNBOUNDED PRECEDING), 0), 0) AS c
+  FROM levelled l JOIN spread p ON l.source IS NOT DISTINCT FROM p.source WINDOW f AS (PARTITION BY l.source ORDER BY x DESC), r AS (PARTITION BY l.source ORDER BY x)),
+scales AS (SELECT source, arg_max(c, x) AS c FROM tried WHERE x * c < 1 GROUP BY source),
+chances AS (SELECT s.*, least(1.0::DOUBLE, 1.0::DOUBLE / sqrt(greatest(size, 1)::DOUBLE) * coalesce(c, 0)) AS p
+  FROM sized s LEFT JOIN scales k ON s.source IS NOT DISTINCT FROM k.source),
+ranked AS (SELECT s.doc_id, s.size, p.source_size, p.target, p.whole, p.rest,
+  sum(s.size) OVER (PARTITION BY s.source ORDER BY u * (1 - s.p) / (u * (1 - s.p) + (1 - u) * s.p), doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM chances s JOIN spread p ON s.source IS NOT DISTINCT FROM p.source),
 copied AS (SELECT *, (whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM copied
 """
