@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
+import json
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # white space as Python's str.strip() understands it: code points, characters, and the body of
 # a regular-expression class
@@ -58,14 +59,53 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_once(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+#: A reference as HTML5 reads it: decimal, hexadecimal, or a name that may run on.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Longest and shortest of the names that need no semicolon.
+_OPEN_NAMES = [len(n) for n in html5 if not n.endswith(";")]
+#: What the numbers below 160 stand for: control characters vanish, 128 to 159 are read as Windows-1252.
+_SMALL = [html.unescape(f"&#{n};") for n in range(160)]
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_twice(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a code point written in digits; what is no character vanishes or becomes U+FFFD."""
+    bare = F.ltrim(digits, F.lit("0"))
+    number = F.when(F.length(bare) > 7, 1 << 24).otherwise(F.conv(F.concat(F.lit("0"), bare), base, 10).cast("int"))
+
+    def char(n: Column) -> Column:
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return (
+            F.when(n < len(_SMALL), F.element_at(F.array(*map(F.lit, _SMALL)), n + 1))
+            .when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
+            .when(n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE), "")
+            .otherwise(wide)
+        )
+
+    return let(number, char)
+
+
+def _named(name: Column) -> Column:
+    """The characters of a name, or of its longest beginning that needs no semicolon; others stay."""
+    known = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    starts = [F.substring(name, 1, n) for n in range(max(_OPEN_NAMES), min(_OPEN_NAMES) - 1, -1)]
+    begun = F.coalesce(*[F.concat(F.try_element_at(known, s), F.substring(name, F.length(s) + 1, F.length(name))) for s in starts])
+    return F.coalesce(F.try_element_at(known, name), begun, F.concat(F.lit("&"), name))
+
+
+def _reference(ref: Column) -> Column:
+    digits = F.rtrim(ref, F.lit(";"))
+    return (
+        F.when(F.lower(ref).startswith("#x"), _numbered(F.substring(digits, 3, F.length(digits)), 16))
+        .when(ref.startswith("#"), _numbered(F.substring(digits, 2, F.length(digits)), 10))
+        .otherwise(_named(ref))
+    )
+
+
+def _all_references(text: Column) -> Column:
+    """The text cut at its references, each of them looked up, and put together again."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), _reference)
+    between = F.split(text, REFERENCE, -1)
+    return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), found), between, lambda r, b: F.concat(r, b)), "")
 
 
 CORE_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -80,16 +120,18 @@ def _core_entities(text: Column) -> Column:
 def unescape_html(text: Column, levels: int = 1) -> Column:
     """HTML entities to characters, one level or two (texts that were encoded twice).
 
-    The five core entities stay in the JVM; only texts holding any other reference (named
-    or numeric) are sent to Python, once for all levels, where the full HTML5 table is.
+    Texts without an ampersand stay as they are, the five core entities are plain replacements;
+    only a text that holds another reference is cut at its references.
     """
-    coded_again = "(?:amp;)?" if levels == 2 else ""
-    other = text.rlike(f"&{coded_again}(?!(?:amp|lt|gt|quot|#39);)[#A-Za-z]")
-    in_python = (_unescape_twice if levels == 2 else _unescape_once)(F.when(other, text))
-    core = text
+    other = "&(?!(?:amp|lt|gt|quot|#39);)[^\t\n\f <&;]"
+
+    def once(t: Column) -> Column:
+        decoded = F.when(t.rlike(other), _all_references(t)).otherwise(_core_entities(t))
+        return F.when(F.contains(t, F.lit("&")), decoded).otherwise(t)
+
     for _ in range(levels):
-        core = let(core, lambda c: F.when(F.contains(c, F.lit("&")), _core_entities(c)).otherwise(c))
-    return F.coalesce(in_python, core)
+        text = let(text, once)
+    return text
 
 
 def strip_tags(fragment: Column) -> Column:

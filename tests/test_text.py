@@ -1,4 +1,5 @@
 import html
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,21 @@ def test_html_entities_like_the_standard_table(spark):
     assert [r[0] for r in got] == want
 
 
+def test_any_mix_of_references_decodes_as_in_python(spark):
+    from html.entities import html5
+
+    rng = random.Random(5)
+    bits = ["&", "&amp;", "&lt", "#", ";", "x", "1", "&#", "&#x", "&#0;", "&#xd800;", "&#x110000;", "&#99999999999;", "&#xfdd0;", "&#0065;", "é", "😀", " ", "\n", "&notit;", "&copy", "ffff"]
+    texts = ["".join(rng.choice(bits) if rng.random() < 0.8 else "&" + rng.choice(sorted(html5)) for _ in range(rng.randrange(9))) for _ in range(1500)]
+    texts += ["&" + n for n in html5] + [f"&#{n};" for n in range(300)] + ["&#x10FFFF;", "&#xFFFE;", "&#xE000;", "&" + "q" * 60 + ";", "", None]
+    once, twice = strings.unescape_html(F.col("t")), strings.unescape_html(F.col("t"), 2)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", once.alias("a"), twice.alias("b"))
+    for r in got.collect():
+        assert (r.a, r.b) == ((None, None) if r.t is None else (html.unescape(r.t), html.unescape(html.unescape(r.t))))
+    plan = spark.range(1).select(strings.unescape_html(F.col("id").cast("string"), 2))._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan
+
+
 def test_strip_is_pythons(spark):
     texts = ["\x1c a \x85", " x　", " \t\n\x0b\x0cy\r", "", "\xa0"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
