@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chirrup.constants import ANOMALY_TYPES, PLATFORMS
 from chirrup.functions import metrics as m
@@ -89,3 +89,40 @@ def compare_claims(claimed: DataFrame, actual: DataFrame, keys: Sequence[str], v
     return joined.withColumn(
         "agrees", F.coalesce(F.abs(F.col("claimed") - F.col("recomputed")) <= tolerance, F.lit(False))
     )
+
+
+def publish_claims(stats: DataFrame, key: str, decimals: dict[str, int], path: str) -> None:
+    """Write figures as they are published: text (key, claim, published), rounded to each one's decimals."""
+    claims = [
+        F.struct(F.lit(n).alias("claim"), F.format_string(f"%.{d}f", F.col(n).cast("double")).alias("published"))
+        for n, d in decimals.items()
+    ]
+    stats.select(key, F.inline(F.array(*claims))).write.option("header", True).csv(path)
+
+
+def read_claims(spark: SparkSession, key: str, path: str) -> DataFrame:
+    return spark.read.option("header", True).schema(f"{key} string, claim string, published string").csv(path)
+
+
+def check_claims(claims: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Published figures next to the recomputed ones: (key, claim, claimed, recomputed, agrees).
+
+    They agree within half a unit of the last digit that was published. A claim whose figure no longer exists
+    or isn't a number disagrees, and so does a figure of a claimed kind that nothing was published for.
+    """
+    names = [c for c in stats.columns if c != key]
+    figures = [F.struct(F.lit(n).alias("claim"), F.col(n).cast("double").alias("recomputed")) for n in names]
+    now = stats.select(F.col(key).alias("k"), F.inline(F.array(*figures))).withColumnRenamed("claim", "c")
+    kinds = claims.select(F.col("claim").alias("c")).distinct()
+    now = now.join(kinds, "c", "left_semi")
+    both = claims.join(now, F.col(key).eqNullSafe(F.col("k")) & (F.col("claim") == F.col("c")), "full")
+    digits = F.length(F.regexp_extract("published", r"\.([0-9]+)$", 1))
+    claimed = F.expr("try_cast(published as double)")
+    near = F.abs(claimed - F.col("recomputed")) <= 0.5 * F.pow(F.lit(10.0), -digits) + 1e-9
+    return both.select(
+        F.when(F.col("claim").isNull(), F.col("k")).otherwise(F.col(key)).alias(key),
+        F.coalesce("claim", "c").alias("claim"),
+        claimed.alias("claimed"),
+        "recomputed",
+        F.coalesce(near, F.lit(False)).alias("agrees"),
+    )

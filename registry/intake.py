@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chirrup.operators import intake, quality
 from chirrup.operators import relations as rel
+from chirrup.session import new_path
 from registry.core import DEFECTS, SCAN, on
 from registry.relations_sql import POSTS, RAW, RAW_USERS, TAGS, TEXTS, TIMED, USERS, sql
 
@@ -49,6 +50,17 @@ def _claims(s):
     return quality.compare_claims(claimed, actual, ["platform"], "value")
 
 
+PUBLISHED = {"n_posts": 0, "avg_engagement": 2, "avg_likes": 1, "total_engagement": 0}
+
+
+def _published_claims(s):
+    """Figures published as a file while the later posts were not yet known, held against the whole table."""
+    path = new_path(s.spark, "claims")
+    known = s.posts.where((F.col("posted_at") < F.lit("1997-01-01").cast("timestamp")) | (F.col("platform") != "2-HIGH"))
+    quality.publish_claims(rel.platform_totals(known), "platform", PUBLISHED, path)
+    return quality.check_claims(quality.read_claims(s.spark, "platform", path), rel.platform_totals(s.posts), "platform")
+
+
 CLEAN = (
     "post_id", "user_id", "platform", "text_content", "timestamp", "likes", "shares", "comments", "timestamp_format",
     "flag_ambiguous_date_format", "post_date", "post_month", "post_hour", "weekday", "is_weekend", "flag_likes_sign_restored",
@@ -76,6 +88,7 @@ QUERIES = {
     "C19_before_and_after": on(lambda s: intake.before_and_after(s.raw_posts, _repair(s).repaired)),
     "K1_K6_expectations": on(_expectations),
     "K7_claims": on(_claims),
+    "K7_published_claims": on(_published_claims),
 }
 
 WS = "\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -259,4 +272,14 @@ ORACLE = {
       + _rules("timed", {"hour is 0..23": "post_hour BETWEEN 0 AND 23", "has_time is 0 or 1": "has_time IN (0, 1)"})),
     "K7_claims": sql(POSTS, body="""
       SELECT platform, count(likes)::DOUBLE AS claimed, count(likes)::DOUBLE AS recomputed, true AS agrees FROM posts GROUP BY platform"""),
+    "K7_published_claims": sql(POSTS, body="".join([
+        """, figures AS (SELECT platform, count(*)::DOUBLE AS n_posts, avg(coalesce(likes, 0) + coalesce(shares, 0) + coalesce(comments, 0)) AS avg_engagement,
+        avg(coalesce(likes, 0)) AS avg_likes, sum(coalesce(likes, 0) + coalesce(shares, 0) + coalesce(comments, 0))::DOUBLE AS total_engagement,""",
+        """ known FROM (SELECT *, true AS known FROM posts WHERE posted_at < TIMESTAMP '1997-01-01' OR platform <> '2-HIGH'
+          UNION ALL SELECT *, false FROM posts) GROUP BY platform, known)""",
+        ", pairs AS (" + " UNION ALL ".join(
+            f"""SELECT platform, '{n}' AS claim, round(any_value({n}) FILTER (known), {d}) AS claimed, any_value({n}) FILTER (NOT known) AS recomputed,
+            {0.5 * 10.0 ** -d:.6f} AS half FROM figures GROUP BY platform""" for n, d in PUBLISHED.items()
+        ) + ") SELECT platform, claim, claimed, recomputed, coalesce(abs(claimed - recomputed) <= half + 1e-9, false) AS agrees FROM pairs",
+    ])),
 }

@@ -124,6 +124,16 @@ def _articles(s):
     return payloads.articles(s.pages.select(F.to_json(F.struct(F.array(art).alias("articles"))).alias("payload")))
 
 
+def _dated_articles(s):
+    """Stamps of every minute, and missing, worded and impossible ones."""
+    part = lambda n, shift: F.lpad((F.col("page_id") % n + shift).cast("string"), 2, "0")
+    stamp = F.concat(F.lit("2026"), part(12, 1), part(28, 1), F.lit("T"), part(24, 0), part(60, 0), F.lit("00Z"))
+    stamp = F.when(F.col("page_id") % 7 == 0, "some day").when(F.col("page_id") % 13 == 0, "20261301T990000Z").when(F.col("page_id") % 11 != 0, stamp)
+    art = F.struct(F.col("url"), F.col("page_id").cast("string").alias("title"), F.lit("e.org").alias("domain"), stamp.alias("seendate"))
+    rows = payloads.articles(s.pages.select(F.to_json(F.struct(F.array(art).alias("articles"))).alias("payload")))
+    return rows.select("record_id", "title", "created_at")
+
+
 def _items(s):
     url = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     topic = F.when(F.col("page_id") % 2 == 0, "India women win the TROPHY").otherwise("weather")
@@ -272,6 +282,7 @@ QUERIES = {
     "S14_timeline": on(lambda s: _timeline(s).select(*SHORT, F.col("engagement")["reblogs"].alias("reblogs"))),
     "S14_stories": on(lambda s: _stories(s).select(*SHORT, F.col("engagement")["points"].alias("points"))),
     "S14_articles": on(lambda s: _articles(s).select(*SHORT)),
+    "S14_dated_articles": on(_dated_articles),
     "S15_feed": on(lambda s: payloads.feed_records(_items(s), source="gnews", key="guid").select(*SHORT)),
     "S16_topic_feed": on(lambda s: payloads.feed_records(_items(s), source="feed", keywords=payloads.TOPIC_KEYWORDS).select(*SHORT)),
     "S17_embeds": on(_embeds),
@@ -381,6 +392,9 @@ ORACLE = {
       FROM events WHERE event_id % 8 <> 0""",
     "S14_articles": f"""SELECT 'gdelt:' || {KEY.format("url")} AS record_id, 'gdelt' AS source, 'e.org' AS author, 'Page ' || page_id AS title, CAST(NULL AS VARCHAR) AS text, url,
       TIMESTAMP '2026-09-20 10:30:00' AS created_at FROM pages""",
+    "S14_dated_articles": f"""SELECT 'gdelt:' || {KEY.format("url")} AS record_id, page_id::VARCHAR AS title,
+      CASE WHEN page_id % 7 = 0 OR page_id % 13 = 0 OR page_id % 11 = 0 THEN NULL
+           ELSE make_timestamp(2026, page_id % 12 + 1, page_id % 28 + 1, page_id % 24, page_id % 60, 0) END AS created_at FROM pages""",
     "S15_feed": f"""SELECT 'gnews:' || {KEY.format("url")} AS record_id, 'gnews' AS source, 'The Paper' AS author, CASE WHEN page_id % 2 = 0 THEN 'India women win the TROPHY' ELSE 'weather' END AS title,
       'day ' || page_id AS text, url, {STAMP} AS created_at FROM pages""",
     "S16_topic_feed": f"""SELECT 'feed_feed' || page_id % 3 || ':' || {KEY.format("url")} AS record_id, 'feed_feed' || page_id % 3 AS source, 'feed' || page_id % 3 AS author, 'India women win the TROPHY' AS title,
