@@ -16,8 +16,10 @@ Documents with the same set are one *unit*; all work is on units.
 4. Candidates are verified on the full sets. Links join components. A pair within a component need
    not be looked at, so a first round takes few keys and one candidate per unit and key, which joins
    nearly all near copies at about one verification each. Then all keys are searched for pairs
-   between components; those with more candidates than asked for are searched again, the last time
-   without a limit, so no link between components is lost.
+   between components; those with more candidates than asked for are searched again with a higher
+   limit, the last time without one, so no link between components is lost. Of many copies that lie
+   about the threshold, each links with one of a few others almost surely: they are one component
+   before the round that would propose all their pairs.
 
 Nulls and other cases: texts without words have the empty set, link with nothing and are components
 of their own; null ids are smaller than none: they never name a component unless all ids in it are
@@ -44,7 +46,7 @@ SKETCH = 1 << 20  # buckets of shingles
 WORD_SKETCH = 1 << 16  # buckets of words
 LEAF = 32
 FIRST_KEYS = 4  # of each unit, in the first round
-ROUNDS = (2, None)  # candidates per unit and key in the rounds over all keys; the last has no limit
+ROUNDS = (2, 8, 32, None)  # candidates per unit and key in the rounds over all keys; the last has no limit
 LAST = (1 << 63) - 1
 
 
