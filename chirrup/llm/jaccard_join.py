@@ -169,13 +169,34 @@ def _pairs_within(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return later, earlier
 
 
+def _has_partner(size: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of the units of one key: which pass the bound of sizes and places with another of them.
+
+    x and y pass if 7 * min(after) >= 3 * (size x + size y), that is if neither is larger than the
+    partner that the other's place leaves room for. The two largest rooms among the units up to
+    each size tell whether one of them, other than x, has room for x.
+    """
+    room = 7 * after // 3 - size
+    order = np.argsort(size, kind="stable")
+    rooms = room[order]
+    best = np.maximum.accumulate(rooms)
+    # the second largest so far: what a new value leaves below the largest one before it
+    second = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min], np.minimum(rooms[1:], best[:-1])]))
+    upto = np.searchsorted(size[order], room, side="right") - 1
+    at = np.maximum(upto, 0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = (rank <= upto) & (room >= best[at])
+    return (upto >= 0) & (np.where(own, second[at], best[at]) >= size)
+
+
 def _plausible(batches):
     """Of rows (sig, unit, at, label) sorted by sig and unit: those with a partner that may link with them.
 
     ``at`` holds the set's size and the place of the key in it. If the key is the first that a pair
     shares, what comes before it in either set is in that set alone, which bounds the overlap; a
-    pair that links passes at its first common key. Long runs of rows are only looked at for more
-    than one component.
+    pair that links passes at its first common key. Long runs of rows must hold more than one
+    component, and are looked at without pairs.
     """
     for table in _whole_keys(batches):
         s, u, at, label = (table.column(c).to_numpy() for c in ("sig", "unit", "at", "label"))
@@ -193,7 +214,8 @@ def _plausible(batches):
         large = lengths > LEAF
         if large.any():
             mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-            keep |= np.repeat(large & mixed, lengths)
+            for a, m in zip(starts[large & mixed], lengths[large & mixed]):
+                keep[a : a + m] = _has_partner(size[a : a + m], after[a : a + m])
         yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(u[keep]), pa.array(at[keep])], ["sig", "unit", "at"])
 
 
@@ -413,7 +435,8 @@ def unit_components(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         """One round: links of new candidates join ``checked`` and ``labels``; gives what to search again."""
         nonlocal checked, labels
         plausible = materialise(_by_key(_labelled(shared, labels)).mapInArrow(_plausible, "sig long, unit long, at long"), "jaccard-shared")
-        rows = _labelled(plausible.join(distinct.select("unit", "point"), "unit"), labels)
+        # by a shuffle at every size: the points are as many as the units
+        rows = _labelled(plausible.join(distinct.select("unit", "point").hint("merge"), "unit"), labels)
         found = _by_key(rows.select("sig", "unit", "at", "point", "label")).mapInArrow(_candidates(most), "a long, b long, again long")
         found = materialise(found.distinct(), "jaccard-found")
         pairs = found.where("a IS NOT NULL").select("a", "b")

@@ -134,3 +134,26 @@ def test_names_of_inner_columns(spark):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, text, "x", "y"), (2, text, "x", "y")], "doc_id long, text string, _gone string, _tag string")
     assert [tuple(r) for r in jj.first_of_each(docs).collect()] == [(1, text, "x", "y")]
+
+
+def test_partners_by_rooms_equal_all_pairs():
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        size = rng.integers(1, 60, rng.integers(2, 40))
+        after = size - np.array([rng.integers(0, jj.needed_prefix(n)) for n in size])
+        passes = 7 * np.minimum(after[:, None], after) >= 3 * (size[:, None] + size)
+        np.fill_diagonal(passes, False)
+        assert (jj._has_partner(size, after) == passes.any(axis=1)).all()
+
+
+def test_many_copies_about_the_threshold(spark):
+    """Copies of one text with words changed at random: some pairs link, most nearly do, none is lost."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(120, 2, replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    assert result(documents(spark, rows)) == brute(rows)
