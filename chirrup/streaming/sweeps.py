@@ -78,10 +78,11 @@ def current_counts(spark: SparkSession, folder: str) -> DataFrame:
 def monitor(
     stream: DataFrame, folder: str, checkpoint: str, *, z: float = live.SPIKE_Z
 ) -> StreamingQuery:
-    """Per batch: hourly increments, a sweep-log row, and the spikes of the hourly table so far.
+    """Per batch: hourly increments, a sweep-log row, the totals of all hours, and their spikes.
 
-    Increments are small (hours times kinds), so re-reading them for the spike test does
-    not grow with the records.
+    The totals of a batch are those of the batch before plus its increments, so a batch reads the
+    landed records and one row per hour, however many batches went before. All outputs are keyed by
+    the batch, and none is read by the batch that writes it: a replayed batch ends the same.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -96,9 +97,22 @@ def monitor(
         written.agg(F.lit(batch_id).alias("batch"), F.coalesce(F.sum("n"), F.lit(0)).alias("new_records")).write.mode(
             "overwrite"
         ).parquet(f"{folder}/sweeps/sweep={batch_id}")
-        so_far = spark.read.parquet(f"{folder}/hours").where(F.col("hour_local").isNotNull()).groupBy("hour_local").agg(F.sum("n").alias("n"))
-        live.spikes(so_far, z=z).write.mode("overwrite").parquet(f"{folder}/spikes/sweep={batch_id}")
+        totals = written.where(F.col("hour_local").isNotNull()).select("hour_local", "n")
+        if batch_id:
+            totals = totals.unionByName(hourly_totals(spark, folder, batch_id - 1))
+        totals = totals.groupBy("hour_local").agg(F.sum("n").alias("n")).coalesce(1)  # a row per hour is one small file
+        totals.write.mode("overwrite").parquet(_totals(folder, batch_id))
+        live.spikes(hourly_totals(spark, folder, batch_id), z=z).write.mode("overwrite").parquet(f"{folder}/spikes/sweep={batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
     )
+
+
+def _totals(folder: str, batch_id: int) -> str:
+    return f"{folder}/totals/batch_id={batch_id}"
+
+
+def hourly_totals(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """(hour_local, n): all records of each hour up to and including the batch."""
+    return spark.read.parquet(_totals(folder, batch_id))

@@ -102,6 +102,31 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     assert streamed == {(r.hour, r.kind): r["count"] for r in batch.collect()}
 
 
+def test_monitor_reads_no_more_as_batches_add_up(spark, tmp_path):
+    """Totals after many sweeps are those of the whole log, late records and null stamps included."""
+    from chirrup.sources.star_adapter import StarSchema
+    from chirrup.streaming import sweeps
+    from compare import SMALL
+
+    log = StarSchema(spark, SMALL).event_log.drop("prob_sentiment_Positive", "prob_sentiment_Negative").withColumn("arc", F.lit(None).cast("string"))
+    log = log.withColumn("created_at", F.when(F.pmod(F.xxhash64("record_id"), F.lit(7)) > 0, F.col("created_at")))
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    batches = 12
+    for part in range(batches):
+        files.append_events(log.where(F.pmod(F.xxhash64("record_id", "sweep_id"), F.lit(batches)) == part).coalesce(1), landing)
+    stream = sweeps.deduplicated(sweeps.read_landing(spark, landing, files_per_batch=1))
+    sweeps.monitor(stream, out, str(tmp_path / "mark"), z=1.5).awaitTermination()
+    last = spark.read.parquet(f"{out}/sweeps").agg(F.max("batch")).first()[0]
+    assert last >= batches - 1
+    hour = F.date_trunc("hour", live.local_time(F.col("created_at"))).alias("hour_local")
+    hourly = files.first_per_record(log).where("created_at is not null").groupBy(hour).agg(F.count(F.lit(1)).alias("n"))
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(sweeps.hourly_totals(spark, out, last).select("hour_local", "n")) == as_set(hourly)
+    assert as_set(spark.read.parquet(f"{out}/spikes/sweep={last}")) == as_set(live.spikes(hourly, z=1.5))
+    read = [len(sweeps.hourly_totals(spark, out, b).inputFiles()) for b in range(last + 1)]
+    assert max(read) == read[0] == 1
+
+
 def test_watermarked_dedup_runs(spark, tmp_path):
     from chirrup.sources.star_adapter import StarSchema
     from chirrup.streaming import sweeps
